@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..runtime import table
-from . import near_duplicates
+from . import near_duplicates, vector_neighbours
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,3 +33,20 @@ def p1_found(spark, sf_dir):
 @_query("p1_groups")
 def p1_groups(spark, sf_dir):
     return near_duplicates.groups(near_duplicates.ticket_texts(table(spark, sf_dir, "support_tickets")))
+
+
+# 4. most similar vectors
+
+_VECTOR_TABLES = ("rag_documents", "cms_documents")
+
+
+@_query("p4_found")
+def p4_found(spark, sf_dir):
+    parts = [vector_neighbours.similar_documents(table(spark, sf_dir, t)).select(F.lit(t).alias("source_table"), "id_a", "id_b") for t in _VECTOR_TABLES]
+    return parts[0].union(parts[1])
+
+
+@_query("p4_neighbours")
+def p4_neighbours(spark, sf_dir):
+    parts = [vector_neighbours.neighbours(table(spark, sf_dir, t)).select(F.lit(t).alias("source_table"), "id", "rank", "neighbour", "similarity") for t in _VECTOR_TABLES]
+    return parts[0].union(parts[1])
