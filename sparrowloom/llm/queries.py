@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import table
-from . import near_duplicates, vector_neighbours
+from ..runtime import latest, stage, table
+from . import near_duplicates, percentiles, splitting, vector_neighbours
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,3 +50,61 @@ def p4_found(spark, sf_dir):
 def p4_neighbours(spark, sf_dir):
     parts = [vector_neighbours.neighbours(table(spark, sf_dir, t)).select(F.lit(t).alias("source_table"), "id", "rank", "neighbour", "similarity") for t in _VECTOR_TABLES]
     return parts[0].union(parts[1])
+
+
+# 5. percentiles
+
+
+def _timings_sql(groups: str, days: bool) -> str:
+    day = ", strftime(ts, '%Y-%m-%d') AS day" if days else ""
+    parts = " UNION ALL ".join(f"SELECT {groups}, '{t}' AS metric, {t} AS v FROM once" for t in percentiles.TIMINGS)
+
+    asked = ", ".join(f"({p})" for p in percentiles.PERMILLES)
+    return f"""
+        WITH one AS (SELECT DISTINCT ON (id) * FROM responses),
+        once AS (SELECT agent_id{day}, {", ".join(f"timings.{t} AS {t}" for t in percentiles.TIMINGS)} FROM one),
+        vals AS (SELECT * FROM ({parts}) WHERE v IS NOT NULL AND NOT isnan(v)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY {groups}, metric ORDER BY v) AS r, count(*) OVER (PARTITION BY {groups}, metric) AS n FROM vals)
+        SELECT {groups}, metric, CAST(permille AS INTEGER) AS permille, v AS value, n
+        FROM ranked JOIN (VALUES {asked}) AS p(permille) ON r = greatest(1, (n * permille + 999) // 1000)
+    """
+
+
+@_query("p5_percentiles", _timings_sql("agent_id", False))
+def p5_percentiles(spark, sf_dir):
+    once, values = percentiles.response_timings(table(spark, sf_dir, "responses"))
+    return percentiles.percentiles(once, ["agent_id"], values)
+
+
+@_query("p5_daily", _timings_sql("agent_id, day", True))
+def p5_daily(spark, sf_dir):
+    once, values = percentiles.response_timings(table(spark, sf_dir, "responses"))
+    return percentiles.percentiles(once, ["agent_id", "day"], values)
+
+
+@_query("p5_combined")
+def p5_combined(spark, sf_dir):
+    """Percentiles per agent out of the kept counts of single days."""
+    once, values = percentiles.response_timings(table(spark, sf_dir, "responses"))
+    return percentiles.from_grid(stage(percentiles.grid_counts(once, ["agent_id", "day"], values), "day_counts"), ["agent_id"])
+
+
+# 3. splitting
+
+_CONTENT_TABLES = ("cms_documents", "rag_documents")
+
+
+@_query("p3_found", " UNION ALL ".join(f"""
+        SELECT DISTINCT '{t}' AS source_table, id AS record_id,
+               CASE WHEN regexp_matches(content, '[^ \\t\\n\\r]{{1000}}[^ \\t\\n\\r]') THEN 'forced' ELSE 'natural' END AS cut_kind
+        FROM {t} WHERE length(content) > 1000
+    """ for t in _CONTENT_TABLES))
+def p3_found(spark, sf_dir):
+    parts = [splitting.cut_kinds(table(spark, sf_dir, t)).select(F.lit(t).alias("source_table"), "record_id", "cut_kind") for t in _CONTENT_TABLES]
+    return parts[0].union(parts[1])
+
+
+@_query("p3_pieces")
+def p3_pieces(spark, sf_dir):
+    parts = [splitting.pieces(latest(table(spark, sf_dir, t).select("id", "content"), "id")).select(F.lit(t).alias("source_table"), "*") for t in _CONTENT_TABLES]
+    return parts[0].union(parts[1])
