@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import latest, stage, table
-from . import near_duplicates, percentiles, splitting, vector_neighbours
+from . import leakage, near_duplicates, packing, percentiles, splitting, vector_neighbours
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,3 +108,44 @@ def p3_found(spark, sf_dir):
 def p3_pieces(spark, sf_dir):
     parts = [splitting.pieces(latest(table(spark, sf_dir, t).select("id", "content"), "id")).select(F.lit(t).alias("source_table"), "*") for t in _CONTENT_TABLES]
     return parts[0].union(parts[1])
+
+
+# 8. packing
+
+CAPACITY = 2048
+
+
+def _packed(spark, sf_dir):
+    return packing.pack(stage(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "token_counts"), CAPACITY)
+
+
+@_query("p8_packed")
+def p8_packed(spark, sf_dir):
+    return _packed(spark, sf_dir).withColumnRenamed("item_id", "doc_id")
+
+
+@_query("p8_fill")
+def p8_fill(spark, sf_dir):
+    """How full the containers are."""
+    used = _packed(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
+    return used.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * CAPACITY)).alias("fill"), F.max("used").alias("fullest"))
+
+
+# 9. leakage
+
+_RUNS = """
+    {k} AS (SELECT {i}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t} WHERE text IS NOT NULL),
+    {k}_runs AS (SELECT DISTINCT {i}, array_to_string(w[n:n + 9], ' ') AS run FROM (SELECT {i}, w, unnest(range(1, len(w) - 8)) AS n FROM {k} WHERE len(w) >= 10))
+"""
+
+
+@_query("p9_found", f"WITH {_RUNS.format(k='d', i='doc_id', t='documents')}, {_RUNS.format(k='e', i='item_id', t='eval_items')} SELECT DISTINCT doc_id, item_id FROM d_runs JOIN e_runs USING (run)")
+def p9_found(spark, sf_dir):
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@_query("p9_report")
+def p9_report(spark, sf_dir):
+    """How many documents hold each leaked item, and how much of it at most."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest_run"), F.max("item_share").alias("largest_share"))

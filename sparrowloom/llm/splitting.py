@@ -65,7 +65,7 @@ def _cuts(text: str, a: int, b: int, level: int) -> list[int]:
 def _joined(text: str, p: int) -> bool:
     """Whether the sign at p belongs to the one before it."""
     c = text[p]
-    return c in "‍️︎" or text[p - 1] == "‍" or "\U0001f3fb" <= c <= "\U0001f3ff" or unicodedata.category(c).startswith("M")
+    return c in "\u200d\ufe0f\ufe0e" or text[p - 1] == "\u200d" or "\U0001f3fb" <= c <= "\U0001f3ff" or unicodedata.category(c).startswith("M")
 
 
 def _pack(text: str, a: int, b: int, level: int, cap: int, limit: int) -> list[tuple[int, int, int]]:
