@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import latest, stage, table
-from . import leakage, near_duplicates, packing, percentiles, splitting, vector_neighbours
+from . import leakage, near_duplicates, packing, percentiles, residue, splitting, vector_neighbours
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,3 +149,16 @@ def p9_report(spark, sf_dir):
     """How many documents hold each leaked item, and how much of it at most."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest_run"), F.max("item_share").alias("largest_share"))
+
+
+# 10. residue
+
+
+@_query("p10_found")
+def p10_found(spark, sf_dir):
+    return residue.classify(table(spark, sf_dir, "documents"))
+
+
+@_query("p10_kept")
+def p10_kept(spark, sf_dir):
+    return residue.kept(table(spark, sf_dir, "documents")).select("doc_id", "source", "doc_type")
