@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import latest, stage, table
-from . import leakage, near_duplicates, packing, percentiles, residue, splitting, vector_neighbours
+from . import answers, leakage, near_duplicates, packing, percentiles, residue, splitting, vector_neighbours
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -162,3 +162,16 @@ def p10_found(spark, sf_dir):
 @_query("p10_kept")
 def p10_kept(spark, sf_dir):
     return residue.kept(table(spark, sf_dir, "documents")).select("doc_id", "source", "doc_type")
+
+
+# 7. defective answers
+
+
+@_query("p7_found")
+def p7_found(spark, sf_dir):
+    return answers.defects(table(spark, sf_dir, "thread_messages"))
+
+
+@_query("p7_labels")
+def p7_labels(spark, sf_dir):
+    return answers.labels(table(spark, sf_dir, "thread_messages"))
