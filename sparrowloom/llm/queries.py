@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import latest, stage, table
-from . import answers, leakage, near_duplicates, packing, percentiles, residue, splitting, vector_neighbours
+from . import answers, leakage, near_duplicates, packing, percentiles, personal_data, residue, splitting, vector_neighbours
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,3 +175,21 @@ def p7_found(spark, sf_dir):
 @_query("p7_labels")
 def p7_labels(spark, sf_dir):
     return answers.labels(table(spark, sf_dir, "thread_messages"))
+
+
+# 6. personal information
+
+
+def _personal(spark, sf_dir, clean):
+    texts = personal_data.texts_of(table(spark, sf_dir, "support_tickets"), table(spark, sf_dir, "thread_messages"))
+    return personal_data.apply(texts, table(spark, sf_dir, "name_lexicon"), clean)
+
+
+@_query("p6_found")
+def p6_found(spark, sf_dir):
+    return _personal(spark, sf_dir, False).select("source_table", "record_id", "pii_type").distinct()
+
+
+@_query("p6_sanitised")
+def p6_sanitised(spark, sf_dir):
+    return _personal(spark, sf_dir, True).dropDuplicates(["source_table", "record_id"])
