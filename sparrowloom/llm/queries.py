@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import latest, stage, table
-from . import answers, leakage, near_duplicates, packing, percentiles, personal_data, residue, splitting, vector_neighbours
+from . import answers, leakage, markup, near_duplicates, packing, percentiles, personal_data, residue, splitting, vector_neighbours
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,3 +193,17 @@ def p6_found(spark, sf_dir):
 @_query("p6_sanitised")
 def p6_sanitised(spark, sf_dir):
     return _personal(spark, sf_dir, True).dropDuplicates(["source_table", "record_id"])
+
+
+# 2. markup
+
+
+@_query("p2_found")
+def p2_found(spark, sf_dir):
+    found = markup.convert(table(spark, sf_dir, "cms_documents"), with_text=False)
+    return found.select(F.col("record_id").alias("cms_id"), F.explode("kinds").alias("markup_kind")).distinct()
+
+
+@_query("p2_clean")
+def p2_clean(spark, sf_dir):
+    return markup.convert(table(spark, sf_dir, "cms_documents")).select(F.col("record_id").alias("cms_id"), "text").dropDuplicates(["cms_id"])
