@@ -1,0 +1,41 @@
+"""Keyed policies over ordered logs: fixed windows anchored at a first request, and budgets per calendar period."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def rate_limit(log: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
+    """Adds ``used``, ``allowed`` and ``remaining`` to rows of (key, ts_ms, seq): a window
+    starts with the first request after the last one ended; refused requests count, too.
+
+    What a row gets depends on all earlier rows of its key, so a key is read in
+    order by one task, but as a stream: rows are range-sorted within partitions by
+    key and only a counter is kept, however many rows a key has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, count, reset = None, 0, 0
+        for batch in batches:
+            used = []
+            for k, t in zip(batch[key], batch["ts_ms"]):
+                if k != now or t > reset:
+                    now, count, reset = k, 0, t + window_ms
+                count += 1
+                used.append(count)
+            yield batch.assign(used=pd.Series(used, dtype="int64"))
+
+    rows = log.repartition(key).sortWithinPartitions(key, "ts_ms", "seq")
+    out = rows.mapInPandas(run, log.schema.add("used", "long"))
+    return out.withColumns({"allowed": F.col("used") <= limit, "remaining": F.greatest(F.lit(0), limit - F.col("used"))})
+
+
+def budget(log: DataFrame, key: str, limit: int) -> DataFrame:
+    """Adds what the key had used of its daily budget before and after each row of (key, ts, seq, tokens)."""
+    w = Window.partitionBy(key, F.date_trunc("day", "ts")).orderBy("ts", "seq")
+    after = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = log.withColumn("used_after", after).withColumn("used_before", F.col("used_after") - F.col("tokens"))
+    return rows.withColumns({"exceeded": F.col("used_before") >= limit, "percent": F.col("used_before") / limit * 100})

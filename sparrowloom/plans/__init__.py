@@ -1 +1,3 @@
-"""See README.md for what lives here."""
+"""Registered core queries: each module adds its own when imported."""
+
+from . import dialect, logs  # noqa: F401
