@@ -59,14 +59,26 @@ _TYPE = r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|crescent|cres|terrace
 _NO = r"\d{1,5}\s?[a-zA-Z]?(?:[-/]\d{1,4})?"
 _CAP = r"[A-ZÄÖÜÉÈÀÁÍÓÚÑ][\w'’.-]*"
 _EN_1 = re.compile(rf"(?<![\w.,/-])\d{{1,5}}[a-z]?,?\s((?:{_CAP}\s){{1,4}})(?:{_TYPE})\b\.?", re.I)
-_EN_2 = re.compile(rf"\b((?:[\w'’-]+\s){{1,3}})(?:{_TYPE})\b\.?,?\s(?:no\.?\s|nr\.?\s|#)?\d{{1,5}}[a-z]?(?![\w%:]|[.,]\d)", re.I)
-_DE = re.compile(rf"\b(?:[A-Za-zÄÖÜäöüß]{{2,}}[- ])?[A-Za-zÄÖÜäöüß-]*[a-zäöüß-](?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|steig|graben|chaussee|promenade)\s(?:nr\.?\s)?{_NO}(?![\w%]|[.,]\d)|\b(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Unter den|Zum|Zur)\s{_CAP}\s\d{{1,4}}[a-z]?(?!\w|[.,]\d|\s(?:von|Minuten|Tage|Stunden))|\b{_CAP}(?:[- ]{_CAP})*[- ](?:Straße|Strasse|Str\.|Allee|Platz|Weg|Ring|Gasse|Ufer)\s(?:nr\.?\s)?{_NO}(?![\w%]|[.,]\d)", re.I)
+_EN_2 = re.compile(rf"\b(?:{_TYPE})\b\.?,?\s(?:no\.?\s|nr\.?\s|#)?\d{{1,5}}[a-z]?(?![\w%:]|[.,]\d)", re.I)
+#: German addresses and English ones with the number behind are found from the kind of street on, and extended to the left.
+_DE = re.compile(rf"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|steig|graben|chaussee|promenade)\s(?:nr\.?\s)?{_NO}(?![\w%]|[.,]\d)", re.I)
+_LEFT_DE = re.compile(r"(?:[A-ZÄÖÜ][\w-]*[ -]){0,2}[\w-]*$")
+_LEFT_EN = re.compile(r"(?:[\w'’-]+\s){1,3}$")
 _FR = re.compile(r"\b\d{1,4}\s?(?:bis|ter|quater|[a-d])?,?\s(?:rue|avenue|av\.|boulevard|bd|chemin|impasse|place|allée|quai|cours|route|passage|square|sentier|ruelle|faubourg)\s(?:(?:de|du|des|de\sla|de\sl['’]|d['’]|le|la|les)\s?)*[\w'’-]+(?:[\s-][A-ZÉÈ][\w'’-]+)*|\b(?:rue|boulevard|chemin|impasse|allée|quai|ruelle)\s(?:(?:de|du|des|de\sla|de\sl['’]|d['’]|le|la|les)\s?)*[\w'’-]+(?:[\s-][A-ZÉÈ][\w'’-]+)*,?\s(?:n[°º]\s?)?\d{1,4}(?![\w%]|[.,]\d)", re.I)
 _ES = re.compile(r"(?:\b(?:calle|avenida|avda\.?|av\.|paseo|plaza|camino|carrera|ronda|travesía|callejón|vía)|\bc/)\s?(?:(?:de|del|de\sla|de\slos|de\slas|la|el|los|las)\s)*[\w'’-]+(?:\s(?:de\s|del\s|de\slas?\s|de\slos\s)?[\w'’-]+){0,3}?,?\s(?:n\.?[°º]?\s?|núm\.?\s)?\d{1,4}(?:,?\s?\d{1,2}\.?[ºª°](?:\s?[A-Z])?)?(?![\w%]|[.,]\d)", re.I)
 #: Words that never stand in the name of a street; "way", "close" and "drive" are ordinary words, too.
 _ORDINARY = frozenset("a an the on in of to and or for is are was were be it its this that these those with by at as from only no not our your their my we you they he she i than then when where which who how all any each every more most some such same other another percent days hours minutes seconds agents rows entries times more after before until about messages use find keep make take go come be das der die und".split())
 
-_INITIAL = re.compile(r"[A-Z]\.")
+#: The expressions above are tried only on texts that hold one of these.
+_ANY_DIGIT, _SIX, _SPOKEN = re.compile(r"\d"), re.compile(r"\d{6}"), re.compile(r" at [\w-]+(?:\.[a-z]|\sdot\s|\s?[(\[]dot)")
+_EMAIL_STEMS = ("@", "＠", "&#64;", "%40", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", "arroba")
+_ID_STEMS = ("ssn", "social", "sozial", "national id", "national in", "identi", "id card", "id-card", "id number", "id no", "passport", "passeport", "pasaporte", "reisepass", "passn", "ausweis", "licence", "license", "führerschein", "permis", "carné", "carnet", "tax ", "steuer", "fiscal", "dni", " nie ", " nif", "curp", " cif", "cédula", "card number", "aufenthalt")
+_FR_STEMS = ("rue ", "avenue ", "av. ", "boulevard ", "bd ", "chemin ", "impasse ", "place ", "allée ", "quai ", "cours ", "route ", "passage ", "square ", "sentier ", "ruelle ", "faubourg ")
+_ES_STEMS = ("calle ", "avenida ", "avda", "av. ", "paseo ", "plaza ", "camino ", "carrera ", "ronda ", "travesía ", "callejón ", "vía ", "c/")
+_DE_STEMS = ("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "ufer ", "damm ", "steig ", "graben ", "chaussee ", "promenade ")
+_DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf")
+_SIMPLE = re.compile(r"[^\W\d_]+")
+_CUT = re.compile(r"\b([^\W\d_]{3,}(?:-[^\W\d_]+)?) [A-Z]\.")
 _PART = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
 
@@ -79,6 +91,7 @@ class Knowledge:
 
     def __init__(self, given=(), family=(), weak=(), streets=(), ordinary=()):
         self.given, self.family, self.weak, self.streets, self.ordinary = (frozenset(x) for x in (given, family, weak, streets, ordinary))
+        self.all = self.given | self.family
 
     def kinds(self, word: str) -> tuple[bool, bool, bool]:
         """Whether the word may be a given name, may be a family name, and is strong."""
@@ -98,18 +111,20 @@ def shaped(text: str, streets: frozenset = frozenset()) -> list[tuple[int, int,
     """Spans of emails, identity numbers, phone numbers and street addresses, not overlapping."""
     found: list[tuple[int, int, str]] = []
 
-    def take(matches, kind: str) -> None:
+    def take(new: list[tuple[int, int]], kind: str) -> None:
         nonlocal text
-        new = [(m.start(), m.end()) for m in matches]
         found.extend((a, b, kind) for a, b in new)
         text = _blank(text, new)
 
-    if "@" in text or "＠" in text or "&#64;" in text or "%40" in text or " at " in text or "at)" in text.lower() or "at]" in text.lower() or "arroba" in text:
-        take(list(_EMAIL.finditer(text)), "email")
-    if any(c.isdigit() for c in text):
-        take(list(_ID.finditer(text)), "identity_number")
-        take(list(_ID_SHAPE.finditer(text)), "identity_number")
-        take(_addresses(text, streets), "street_address")
+    low = text.lower()
+    if any(x in low for x in _EMAIL_STEMS) or _SPOKEN.search(low):
+        take([m.span() for m in _EMAIL.finditer(text)], "email")
+    if _ANY_DIGIT.search(text):
+        if any(x in low for x in _ID_STEMS):
+            take([m.span() for m in _ID.finditer(text)], "identity_number")
+        if _SIX.search(text):
+            take([m.span() for m in _ID_SHAPE.finditer(text)], "identity_number")
+        take(_addresses(text, low, streets), "street_address")
         phones = []
         for m in _NUMBER.finditer(text):
             digits = sum(c.isdigit() for c in m[0])
@@ -118,44 +133,55 @@ def shaped(text: str, streets: frozenset = frozenset()) -> list[tuple[int, int,
                 continue
             shape = m[0].strip()
             if shape.startswith("+") and digits >= 8 or _PHONE_CUE.search(before) or _PHONE_SHAPE.match(shape) and digits >= 9 and not re.match(r"^(?:19|20)\d\d-", shape):
-                phones.append(m)
+                phones.append(m.span())
         take(phones, "phone")
-    low = text.lower()
-    if " " in low and any(w in low for w in ("five", "zero", "seven", "fünf", "null", "cinco", "cero", "cinq", "zéro", "eight", "three", "four", "nine", "six", "one", "two")):
-        take(list(_SPELLED.finditer(text)), "phone")
+    if sum(low.count(w) for w in _DIGITS) >= 7:
+        take([m.span() for m in _SPELLED.finditer(text)], "phone")
     return found
 
 
-def _addresses(text: str, streets: frozenset) -> list[re.Match]:
+def _addresses(text: str, low: str, streets: frozenset) -> list[tuple[int, int]]:
     out = []
-    for i, pattern in enumerate((_FR, _ES, _DE, _EN_1, _EN_2)):
-        for m in pattern.finditer(text):
-            if i >= 3:
-                name = m[1].split()
-                low = [w.lower().strip(".,'’") for w in name]
-                if i == 4:
-                    # only the words that belong to the name, counted from the type backwards
-                    while low and (low[0] in _ORDINARY or not (name[0][0].isupper() or low[0] in streets)):
-                        low, name = low[1:], name[1:]
-                if not low or any(w in _ORDINARY for w in low):
-                    continue
-                cased = name[0][0].isupper()
-                if not (cased or all(w in streets for w in low)):
-                    continue
-                if i == 3 and not cased and not streets:
-                    continue
-            out.append(m)
-    out.sort(key=lambda m: (m.start(), -m.end()))
+    if any(x in low for x in _FR_STEMS):
+        out += [m.span() for m in _FR.finditer(text)]
+    if any(x in low for x in _ES_STEMS):
+        out += [m.span() for m in _ES.finditer(text)]
+    if any(x in low for x in _DE_STEMS):
+        for m in _DE.finditer(text):
+            left = _LEFT_DE.search(text, max(0, m.start() - 60), m.start())
+            start = left.start() if left else m.start()
+            if m.start() > start:
+                out.append((start, m.end()))
+    for m in _EN_1.finditer(text):
+        if _street(m[1].split(), streets):
+            out.append(m.span())
+    for m in _EN_2.finditer(text):
+        left = _LEFT_EN.search(text, max(0, m.start() - 60), m.start())
+        name = left[0].split() if left else []
+        # only the words that belong to the name, counted from the kind of street backwards
+        while name and (name[0].lower() in _ORDINARY or not (name[0][0].isupper() or name[0].lower() in streets)):
+            name = name[1:]
+        if name and _street(name, streets):
+            out.append((m.start() - len(" ".join(name)) - 1, m.end()))
+    out.sort(key=lambda x: (x[0], -x[1]))
     kept, end = [], -1
-    for m in out:
-        if m.start() >= end:
-            kept.append(m)
-            end = m.end()
+    for x in out:
+        if x[0] >= end:
+            kept.append(x)
+            end = x[1]
     return kept
 
 
+def _street(name: list[str], streets: frozenset) -> bool:
+    """Whether these words may name a street: in capitals, or known from addresses in capitals."""
+    low = [w.lower().strip(".,'’") for w in name]
+    return bool(low) and not any(w in _ORDINARY for w in low) and (name[0][0].isupper() or all(w in streets for w in low))
+
+
 def names(text: str, know: Knowledge) -> list[tuple[int, int]]:
     """Spans of given plus family name in a text from which the other items are blanked."""
+    if know.all.isdisjoint(_SIMPLE.findall(text.lower())):
+        return []
     words = [(m.start(), m.end(), m[0]) for m in _PART.finditer(text)]
     kinds = [know.kinds(w) for _, _, w in words]
     out, i = [], 0
@@ -224,47 +250,45 @@ def sanitise(text: str | None, know: Knowledge, loose: frozenset = frozenset())
 def _count(given: frozenset, family: frozenset):
     """Per word: occurrences, in lower case, where a name would stand (as given, as family name), and in the name of a street."""
 
+    known = given | family
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, low, as_given, as_family, street = Counter(), Counter(), Counter(), Counter(), Counter()
+            n, low, as_given, after, street = Counter(), Counter(), Counter(), Counter(), Counter()
             for text in batch["text"]:
                 found = shaped(text)
                 for a, b, kind in found:
                     if kind == "street_address":
-                        m = _EN_1.match(text, a) or _EN_2.match(text, a)
-                        if m and m[1][:1].isupper():
-                            street.update(w.lower().strip(".,'’") for w in m[1].split() if w[:1].isupper())
+                        # the words in capitals before the kind of street
+                        street.update(w.lower() for w in _SIMPLE.findall(text[a:b])[:-1] if w[:1].isupper())
                 text = _blank(text, [(a, b) for a, b, _ in found])
-                words = [(m.start(), m.end(), m[0]) for m in _PART.finditer(text)]
-                for i, (a, b, w) in enumerate(words):
-                    for part in w.lower().split("-"):
-                        n[part] += 1
-                        if w.islower():
-                            low[part] += 1
-                    if i + 1 == len(words):
-                        continue
-                    a2, b2, w2 = words[i + 1]
+                words = _SIMPLE.findall(text)
+                lower = [w.lower() for w in words]
+                n.update(lower)
+                low.update(w for w in words if w.islower())
+                for m in _CUT.finditer(text):
+                    if m[1][0].isupper():
+                        as_given.update(m[1].lower().split("-"))
+                if known.isdisjoint(lower):
+                    continue
+                spans = [(m.start(), m.end(), m[0].lower()) for m in _PART.finditer(text)]
+                for i, ((a, b, p), (a2, b2, q)) in enumerate(zip(spans, spans[1:])):
                     gap = text[b:a2]
-                    p, q = w.lower(), w2.lower()
                     if gap == " ":
                         if all(x in given for x in p.split("-")):
-                            as_family[q] += 1
+                            after[q, p] += 1
                         if q in family:
-                            for x in p.split("-"):
-                                as_given[x] += 1
-                        if len(w2) == 1 and w2.isupper() and text[b2 : b2 + 1] == "." and w[0].isupper() and len(w) > 2:
-                            for x in p.split("-"):
-                                as_given[x] += 1
+                            as_given.update(p.split("-"))
                     elif gap == ", ":
                         # "Regards, Given Family" is no family name before a given one
-                        third = words[i + 2] if i + 2 < len(words) else None
-                        if all(x in given for x in q.split("-")) and not (third and text[b2 : third[0]] == " " and third[2][0].isupper()):
-                            as_family[p] += 1
+                        third = spans[i + 2] if i + 2 < len(spans) else None
+                        if all(x in given for x in q.split("-")) and not (third and text[b2 : third[0]] == " " and text[third[0]].isupper()):
+                            after[p, q] += 1
                         if p in family:
-                            for x in q.split("-"):
-                                as_given[x] += 1
+                            as_given.update(q.split("-"))
             keys = set(n) | set(street)
-            yield pd.DataFrame([(k, n[k], low[k], as_given[k], as_family[k], street[k]) for k in keys], columns=["word", "n", "low", "as_given", "as_family", "street"])
+            rows = [(k, "", n[k], low[k], as_given[k], 0, street[k]) for k in keys] + [(k, g, 0, 0, 0, c, 0) for (k, g), c in after.items()]
+            yield pd.DataFrame(rows, columns=["word", "given", "n", "low", "as_given", "as_family", "street"])
 
     return run
 
@@ -278,8 +302,13 @@ def learn(texts: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, dict[str, st
         raise ValueError("the lexicon is a list of at most 100,000 name parts")
     given = frozenset(r["w"] for r in rows if r["part_kind"] == "given")
     family = frozenset(r["w"] for r in rows if r["part_kind"] == "family")
-    counted = texts.select("text").where("text is not null").mapInPandas(_count(given, family), "word string, n bigint, low bigint, as_given bigint, as_family bigint, street bigint")
-    total = stage(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "low", "as_given", "as_family", "street"))), "words")
+    counted = texts.select("text").where("text is not null").mapInPandas(_count(given, family), "word string, given string, n bigint, low bigint, as_given bigint, as_family bigint, street bigint")
+    pairs = stage(counted.groupBy("word", "given").agg(*(F.sum(c).alias(c) for c in ("n", "low", "as_given", "as_family", "street"))), "pairs")
+    sums = [F.sum(c).alias(c) for c in ("n", "low", "as_given", "street")]
+    # a word after an ordinary word of the lexicon ("Marlow Pages") is no family name for that
+    rough = pairs.groupBy("word").agg(*sums, F.sum("as_family").alias("as_family")).where(F.col("word").isin(list(given | family)))
+    weak = [r["word"] for r in rough.where((F.col("n") >= 20) & (F.greatest("as_given", "as_family") < WEAK * F.col("n"))).collect()]  # words of the lexicon
+    total = stage(pairs.groupBy("word").agg(*sums, F.sum(F.when(F.col("given").isin(weak), 0).otherwise(F.col("as_family"))).alias("as_family")), "words")
     listed = texts.sparkSession.createDataFrame([(w, True, False) for w in given] + [(w, False, True) for w in family] or [("", False, False)], "word string, g boolean, f boolean").groupBy("word").agg(F.max("g").alias("g"), F.max("f").alias("f"))
     known = total.join(F.broadcast(listed), "word", "left").withColumns({"g": F.coalesce("g", F.lit(False)), "f": F.coalesce("f", F.lit(False)), "share": F.greatest("as_given", "as_family") / F.greatest("n", F.lit(1))})
     shaped_like = F.length("word") >= 3
