@@ -72,12 +72,14 @@ _ORDINARY = frozenset("a an the on in of to and or for is are was were be it its
 #: The expressions above are tried only on texts that hold one of these.
 _ANY_DIGIT, _SIX, _SPOKEN = re.compile(r"\d"), re.compile(r"\d{6}"), re.compile(r" at [\w-]+(?:\.[a-z]|\sdot\s|\s?[(\[]dot)")
 _EMAIL_STEMS = ("@", "＠", "&#64;", "%40", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", "arroba")
-_ID_STEMS = ("ssn", "social", "sozial", "national id", "national in", "identi", "id card", "id-card", "id number", "id no", "passport", "passeport", "pasaporte", "reisepass", "passn", "ausweis", "licence", "license", "führerschein", "permis", "carné", "carnet", "tax ", "steuer", "fiscal", "dni", " nie ", " nif", "curp", " cif", "cédula", "card number", "aufenthalt")
-_FR_STEMS = ("rue ", "avenue ", "av. ", "boulevard ", "bd ", "chemin ", "impasse ", "place ", "allée ", "quai ", "cours ", "route ", "passage ", "square ", "sentier ", "ruelle ", "faubourg ")
-_ES_STEMS = ("calle ", "avenida ", "avda", "av. ", "paseo ", "plaza ", "camino ", "carrera ", "ronda ", "travesía ", "callejón ", "vía ", "c/")
+_ID_WORDS = frozenset("ssn social sozialnummer sozialversicherungsnummer national identity id identification passport passeport pasaporte reisepass pass passnummer passnr ausweis licence license führerschein permis permiso carné carnet carnt tax steuer steuernummer steueridentifikationsnummer steuerid fiscal sécurité seguridad dni nie nif cif curp documento carte pièce cédula cedula residence aufenthaltstitel card".split())
+_FR_WORDS = frozenset("rue avenue av boulevard bd chemin impasse place allée quai cours route passage square sentier ruelle faubourg".split())
+_ES_WORDS = frozenset("calle avenida avda av paseo plaza camino carrera ronda travesía callejón vía c".split())
+_EN_WORDS = frozenset(_TYPE[3:-1].split("|"))
 _DE_STEMS = ("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "ufer ", "damm ", "steig ", "graben ", "chaussee ", "promenade ")
-_DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf")
+_DIGITS = frozenset(("zero", "oh", "double", "un", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf"))
 _SIMPLE = re.compile(r"[^\W\d_]+")
+_INITIAL = re.compile(r" [A-Z]\.")
 _CUT = re.compile(r"\b([^\W\d_]{3,}(?:-[^\W\d_]+)?) [A-Z]\.")
 _PART = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
@@ -107,7 +109,7 @@ def _blank(text: str, spans) -> str:
     return text
 
 
-def shaped(text: str, streets: frozenset = frozenset()) -> list[tuple[int, int, str]]:
+def shaped(text: str, streets: frozenset = frozenset(), words: list[str] | None = None) -> list[tuple[int, int, str]]:
     """Spans of emails, identity numbers, phone numbers and street addresses, not overlapping."""
     found: list[tuple[int, int, str]] = []
 
@@ -117,14 +119,16 @@ def shaped(text: str, streets: frozenset = frozenset()) -> list[tuple[int, int,
         text = _blank(text, new)
 
     low = text.lower()
+    words = _SIMPLE.findall(low) if words is None else words
+    own = set(words)
     if any(x in low for x in _EMAIL_STEMS) or _SPOKEN.search(low):
         take([m.span() for m in _EMAIL.finditer(text)], "email")
     if _ANY_DIGIT.search(text):
-        if any(x in low for x in _ID_STEMS):
+        if not own.isdisjoint(_ID_WORDS) or any(x in low for x in ("ausweis", "führerschein", "steuer", "sozial")):
             take([m.span() for m in _ID.finditer(text)], "identity_number")
         if _SIX.search(text):
             take([m.span() for m in _ID_SHAPE.finditer(text)], "identity_number")
-        take(_addresses(text, low, streets), "street_address")
+        take(_addresses(text, low, own, streets), "street_address")
         phones = []
         for m in _NUMBER.finditer(text):
             digits = sum(c.isdigit() for c in m[0])
@@ -135,16 +139,16 @@ def shaped(text: str, streets: frozenset = frozenset()) -> list[tuple[int, int,
             if shape.startswith("+") and digits >= 8 or _PHONE_CUE.search(before) or _PHONE_SHAPE.match(shape) and digits >= 9 and not re.match(r"^(?:19|20)\d\d-", shape):
                 phones.append(m.span())
         take(phones, "phone")
-    if sum(low.count(w) for w in _DIGITS) >= 7:
+    if sum(w in _DIGITS for w in words) >= 7:
         take([m.span() for m in _SPELLED.finditer(text)], "phone")
     return found
 
 
-def _addresses(text: str, low: str, streets: frozenset) -> list[tuple[int, int]]:
+def _addresses(text: str, low: str, own: set, streets: frozenset) -> list[tuple[int, int]]:
     out = []
-    if any(x in low for x in _FR_STEMS):
+    if not own.isdisjoint(_FR_WORDS):
         out += [m.span() for m in _FR.finditer(text)]
-    if any(x in low for x in _ES_STEMS):
+    if not own.isdisjoint(_ES_WORDS):
         out += [m.span() for m in _ES.finditer(text)]
     if any(x in low for x in _DE_STEMS):
         for m in _DE.finditer(text):
@@ -152,10 +156,11 @@ def _addresses(text: str, low: str, streets: frozenset) -> list[tuple[int, int]]
             start = left.start() if left else m.start()
             if m.start() > start:
                 out.append((start, m.end()))
-    for m in _EN_1.finditer(text):
+    english = not own.isdisjoint(_EN_WORDS)
+    for m in _EN_1.finditer(text) if english else ():
         if _street(m[1].split(), streets):
             out.append(m.span())
-    for m in _EN_2.finditer(text):
+    for m in _EN_2.finditer(text) if english else ():
         left = _LEFT_EN.search(text, max(0, m.start() - 60), m.start())
         name = left[0].split() if left else []
         # only the words that belong to the name, counted from the kind of street backwards
@@ -178,9 +183,9 @@ def _street(name: list[str], streets: frozenset) -> bool:
     return bool(low) and not any(w in _ORDINARY for w in low) and (name[0][0].isupper() or all(w in streets for w in low))
 
 
-def names(text: str, know: Knowledge) -> list[tuple[int, int]]:
+def names(text: str, know: Knowledge, own: list[str] | None = None) -> list[tuple[int, int]]:
     """Spans of given plus family name in a text from which the other items are blanked."""
-    if know.all.isdisjoint(_SIMPLE.findall(text.lower())):
+    if know.all.isdisjoint(_SIMPLE.findall(text.lower()) if own is None else own):
         return []
     words = [(m.start(), m.end(), m[0]) for m in _PART.finditer(text)]
     kinds = [know.kinds(w) for _, _, w in words]
@@ -225,9 +230,10 @@ def names(text: str, know: Knowledge) -> list[tuple[int, int]]:
 
 def items(text: str, know: Knowledge) -> list[tuple[int, int, str]]:
     """All items of a text as ``(start, end, type)``, by start."""
-    found = shaped(text, know.streets)
+    words = _SIMPLE.findall(text.lower())
+    found = shaped(text, know.streets, words)
     rest = _blank(text, [(a, b) for a, b, _ in found])
-    return sorted(found + [(a, b, "person_name") for a, b in names(rest, know)])
+    return sorted(found + [(a, b, "person_name") for a, b in names(rest, know, words)])
 
 
 def sanitise(text: str | None, know: Knowledge, loose: frozenset = frozenset()) -> str | None:
@@ -256,17 +262,20 @@ def _count(given: frozenset, family: frozenset):
         for batch in batches:
             n, low, as_given, after, street = Counter(), Counter(), Counter(), Counter(), Counter()
             for text in batch["text"]:
-                found = shaped(text)
+                words = _SIMPLE.findall(text)
+                lower = [w.lower() for w in words]
+                found = shaped(text, words=lower)
                 for a, b, kind in found:
                     if kind == "street_address":
                         # the words in capitals before the kind of street
                         street.update(w.lower() for w in _SIMPLE.findall(text[a:b])[:-1] if w[:1].isupper())
-                text = _blank(text, [(a, b) for a, b, _ in found])
-                words = _SIMPLE.findall(text)
-                lower = [w.lower() for w in words]
+                if found:
+                    text = _blank(text, [(a, b) for a, b, _ in found])
+                    words = _SIMPLE.findall(text)
+                    lower = [w.lower() for w in words]
                 n.update(lower)
                 low.update(w for w in words if w.islower())
-                for m in _CUT.finditer(text):
+                for m in _CUT.finditer(text) if _INITIAL.search(text) else ():
                     if m[1][0].isupper():
                         as_given.update(m[1].lower().split("-"))
                 if known.isdisjoint(lower):
