@@ -93,11 +93,21 @@ class Knowledge:
 
     def __init__(self, given=(), family=(), weak=(), streets=(), ordinary=()):
         self.given, self.family, self.weak, self.streets, self.ordinary = (frozenset(x) for x in (given, family, weak, streets, ordinary))
-        self.all = self.given | self.family
+        #: Every name has a strong part, so a text without any of these holds none.
+        self.strong = (self.given | self.family) - self.weak
+        self._known: dict[str, tuple[bool, bool, bool]] = {}
 
     def kinds(self, word: str) -> tuple[bool, bool, bool]:
         """Whether the word may be a given name, may be a family name, and is strong."""
         low = _folded(word)
+        known = self._known.get(low)
+        if known is None:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            known = self._known[low] = self._kinds(low)
+        return known
+
+    def _kinds(self, low: str) -> tuple[bool, bool, bool]:
         parts = low.split("-")
         g, f = (all(p in s for p in parts) for s in (self.given, self.family))
         return g, f, (g or f) and not any(p in self.weak for p in parts)
@@ -185,7 +195,7 @@ def _street(name: list[str], streets: frozenset) -> bool:
 
 def names(text: str, know: Knowledge, own: list[str] | None = None) -> list[tuple[int, int]]:
     """Spans of given plus family name in a text from which the other items are blanked."""
-    if know.all.isdisjoint(_SIMPLE.findall(text.lower()) if own is None else own):
+    if know.strong.isdisjoint(_SIMPLE.findall(text.lower()) if own is None else own):
         return []
     words = [(m.start(), m.end(), m[0]) for m in _PART.finditer(text)]
     kinds = [know.kinds(w) for _, _, w in words]
