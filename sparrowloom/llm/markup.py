@@ -1,12 +1,15 @@
 """Markup to clean text, keeping headings, lists, tables, code and formulas.
 
 The text is read once for the notations that occur in it (HTML, Markdown, wiki,
-LaTeX), code blocks set aside. HTML is parsed; per root-to-leaf tag path the
-length of text and the number of sentence signs are added up over the text's
-nodes, smoothed along the text, fused (their geometric mean), and nodes of paths
-below a share of the mean are dropped as page furniture, headings, lists, tables
-and code apart. The other notations are rewritten construct by construct. A text
-without markup is returned as it is; null stays null.
+LaTeX), code blocks set aside. HTML is parsed; per root-to-leaf path of block tags
+the length of text and the number of sentence signs are added up over the text's
+nodes, smoothed along runs of one path, fused (their geometric mean), and nodes of
+paths below a share of the mean are dropped as page furniture, whatever their tags.
+Headings, lists and tables have no part in the mean and are kept if the path that
+encloses them is content; code, formulas and text outside all block tags stay.
+A menu list whose container has the same path as one with content stays, too. The
+other notations are rewritten construct by construct. A text without markup is
+returned as it is; null stays null.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("html", "markdown", "wiki", "latex")
-#: A path is content if its fused ratio is at least this share of the mean over all nodes.
+#: A path is content if its fused ratio is at least this share of the mean over all nodes of running text.
 SHARE = 0.15
 
 _TAGS = "a abbr article aside b blockquote body br button center cite code col dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav noscript ol option p pre q ref s samp script section select small span strike strong style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul var video nowiki"
@@ -99,45 +102,61 @@ def kinds(text: str) -> list[str]:
 
 _BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "br", "hr", "dl", "dt", "dd", "header", "footer", "nav", "aside", "main", "title"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "col"}
-_KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "pre", "code", "dt", "dd"}
+_INLINE = set("a abbr b cite code del em font i img input ins kbd label mark q ref s samp small span strike strong sub sup tt u var nowiki".split())
+#: Structures that are kept wherever their enclosing path is content.
+_KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "li", "dt", "dd", "table", "td", "th", "pre"}
+_PAGE = {"html", "body"}
+_MARKS = {"- ", "| ", *("#" * n + " " for n in range(1, 7))}
+
+
+def _last(path: list[str], tag: str) -> int:
+    return len(path) - 1 - path[::-1].index(tag)
 
 
 class _Tree(HTMLParser):
-    """Text nodes with their tag paths, in order; block tags open a new line."""
+    """Text nodes with their tag paths and the number of their block, in order; block tags open a new line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.path: list[str] = []
-        self.nodes: list[tuple[tuple[str, ...], str]] = []
+        self.nodes: list[tuple[tuple[str, ...], str, int]] = []
+        self.block = 0
+
+    def sign(self, text: str) -> None:
+        self.nodes.append(((), text, self.block))
 
     def handle_starttag(self, tag, attrs):
+        self.block += tag not in _INLINE and tag not in _VOID
+        if tag in _BLOCKS and tag != "br" and "p" in self.path and not _BLOCKS & set(self.path[_last(self.path, "p") + 1 :]):
+            del self.path[_last(self.path, "p") :]  # a paragraph ends where a block begins
         if tag in ("li", "p", "td", "th", "tr") and tag in self.path[-1:]:
             self.path.pop()  # these end where the next one begins
         if tag in _BLOCKS:
-            self.nodes.append(((), "\n" if tag in ("br", "li", "tr", "dt", "dd") else "\n\n"))
+            self.sign("\n" if tag in ("br", "li", "tr", "dt", "dd") else "\n\n")
         if tag not in _VOID:
             self.path.append(tag)
         if tag[0] == "h" and tag[1:].isdigit():
-            self.nodes.append(((), "#" * int(tag[1:]) + " "))
+            self.sign("#" * int(tag[1:]) + " ")
         elif tag == "li":
-            self.nodes.append(((), "- "))
+            self.sign("- ")
         elif tag in ("td", "th"):
-            self.nodes.append(((), "| "))
+            self.sign("| ")
         elif tag == "pre":
-            self.nodes.append(((), "```\n"))
+            self.sign("```\n")
 
     def handle_endtag(self, tag):
+        self.block += tag not in _INLINE and tag not in _VOID
         if tag in self.path:
             while self.path and self.path.pop() != tag:
                 pass
         if tag == "pre":
-            self.nodes.append(((), "\n```"))
+            self.sign("\n```")
         if tag in _BLOCKS and tag not in ("li", "td", "th", "br"):
-            self.nodes.append(((), "\n"))
+            self.sign("\n")
 
     def handle_data(self, data):
         if not {"script", "style", "head"} & set(self.path):
-            self.nodes.append((tuple(self.path) or ("body",), data))
+            self.nodes.append((tuple(self.path) or ("body",), data, self.block))
 
 
 def _from_html(text: str) -> str:
@@ -146,26 +165,54 @@ def _from_html(text: str) -> str:
     tree = _Tree()
     tree.feed(text)
     tree.close()
-    length, signs = defaultdict(float), defaultdict(float)
-    spoken = [(p, t) for p, t in tree.nodes if p and t.strip()]
-    for i, (p, t) in enumerate(spoken):
-        # smoothing: a node shares in its neighbours
-        around = [x for _, x in spoken[max(0, i - 1) : i + 2]]
-        length[p] += sum(len(x) for x in around) / len(around)
-        signs[p] += sum(sum(c in ".,;:!?" for c in x) for x in around) / len(around)
-    count = defaultdict(int)
-    for p, _ in spoken:
-        count[p] += 1
-    fused = {p: ((length[p] / count[p]) * (1 + signs[p] / count[p])) ** 0.5 for p in length}
-    mean = sum(fused.values()) / max(1, len(fused))
+    # the text of one block is one node, whatever inline tags it is cut by
+    spoken: list[tuple[tuple[str, ...], str]] = []
+    last = None
+    for p, t, block in tree.nodes:
+        path = _block_path(p)
+        if path and t.strip():
+            if block == last:
+                spoken[-1] = (path, spoken[-1][1] + t)
+            else:
+                spoken.append((path, t))
+            last = block
+    content = _content_paths(spoken)
     out = []
-    for p, t in tree.nodes:
-        if p and t.strip() and fused[p] < SHARE * mean and not _KEPT & set(p) and {"nav", "footer", "aside", "header", "form", "button"} & set(p):
+    for p, t, _ in tree.nodes:
+        path = _block_path(p)
+        if path and t.strip() and path not in content and "pre" not in p and "\x02" not in t:
+            while out and out[-1] in _MARKS:
+                out.pop()  # the sign of the dropped item or heading
             continue
         out.append(t if not p or "pre" in p else re.sub(r"\s+", " ", t))
     return "".join(out)
 
 
+def _block_path(path: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(t for t in path if t not in _INLINE and t not in _PAGE)
+
+
+def _content_paths(spoken: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
+    """The paths of content among nodes of text with their block paths."""
+    length, signs, count = defaultdict(float), defaultdict(float), defaultdict(int)
+    for i, (p, _) in enumerate(spoken):
+        # smoothing: a node shares in its neighbours, but furniture not in the text beside it
+        around = [x for q, x in spoken[max(0, i - 1) : i + 2] if q == p]
+        length[p] += sum(len(x.strip()) for x in around) / len(around)
+        signs[p] += sum(sum(c in ".,;:!?" for c in x) for x in around) / len(around)
+        count[p] += 1
+    fused = {p: ((length[p] / count[p]) * (1 + signs[p] / count[p])) ** 0.5 for p in length}
+    running = [p for p, _ in spoken if not _KEPT & set(p)] or [p for p, _ in spoken]
+    bar = SHARE * sum(fused[p] for p in running) / max(1, len(running))
+    content = {p for p in fused if fused[p] >= bar}
+    around = {p[:n] for p in content for n in range(1, len(p) + 1)}
+    for p in fused:
+        enclosing = p[: next((n for n, t in enumerate(p) if t in _KEPT), len(p))]
+        if len(enclosing) < len(p) and (not enclosing or enclosing in around):
+            content.add(p)
+    return content
+
+
 _REWRITE = {
     "wiki": [
         (r"(?m)^[ \t]*(={2,6})[ \t]*([^\n]*?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2]), (r"'''?([^'\n]+?)'''?", r"\1"), (r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]", r"\1"),

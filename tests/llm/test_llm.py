@@ -99,6 +99,22 @@ def test_clean_keeps_structure():
     assert "## Title" in out and "One & two." in out and "- a" in out and "x = 1\n  y" in out and "<" not in out
 
 
+PROSE = "<p>The ledger is closed on Friday, but the audit goes on: two reports are still open, and one is late.</p>"
+
+
+@pytest.mark.parametrize("furniture", ["<nav><ul><li>Home<li>Shop<li>Help</ul></nav>", "<div><div>Home</div><div>Shop</div><div>Help</div></div>", "<section><h3>Home</h3><ul><li><a href='/s'>Shop</a></li><li>Help</li></ul></section>"])
+def test_clean_drops_furniture_whatever_its_tags(furniture):
+    out = markup.clean(f"{furniture}<div>{PROSE * 8}<h2>Next</h2><ul><li>Red</li><li>Blue</li></ul><table><tr><td>1</td><td>2</td></tr></table><p>Yes, <b>do</b> it.</p></div>")
+    assert not {"Home", "Shop", "Help"} & set(out.split()) and out.startswith("The ledger")
+    assert all(x in out for x in ("## Next", "- Red", "- Blue", "| 1", "| 2", "Yes, do it."))
+
+
+def test_clean_keeps_short_contents_of_one_kind():
+    assert markup.clean("<ul><li>a<li>b</ul>").split() == ["-", "a", "-", "b"]
+    assert "x = 1" in markup.clean(f"<nav><pre>x = 1</pre></nav>{PROSE * 3}") and "$y^2$" in markup.clean(f"<div>$y^2$</div>{PROSE * 3}")
+    assert "Short" in markup.clean(f"Short<br>line{PROSE * 3}")
+
+
 @pytest.mark.parametrize("answer,defect", [(None, "empty"), ("​", "empty"), ("N/A", "empty"), ("Sorry, I can't help with that request.", "refusal"), ("How do I reset the widget for the night shift team?", "copied_question"), ("First open the panel and then", "truncated"), ("Yes.", None), ("I can't reproduce this, but here is what helps. Open the panel and wait for the next sync.", None)])
 def test_answer_votes(answer, defect):
     got = answers.votes("How do I reset the widget for the night shift team?", answer)
