@@ -233,9 +233,14 @@ _REWRITE = {
 
 def clean(text: str | None) -> str | None:
     """The text without its markup; headings as #, lists as -, tables with |, code fenced, formulas as they are."""
+    return converted(text)[0]
+
+
+def converted(text: str | None) -> tuple[str | None, list[str]]:
+    """The clean text and the notations that it was converted from."""
     found = kinds(text) if text else []
     if not found:
-        return text
+        return text, found
     kept: list[str] = []
 
     def keep(m) -> str:
@@ -253,16 +258,16 @@ def clean(text: str | None) -> str | None:
             for pattern, to in _REWRITE[kind]:
                 out = re.sub(pattern, to, out)
     out = re.sub(r"\x02(\d+)\x02", lambda m: kept[int(m[1])], out)
-    return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", out)).strip()
+    return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", out)).strip(), found
 
 
-def convert(df: DataFrame, id_col: str = "id", text_col: str = "content", with_text: bool = True) -> DataFrame:
-    """``record_id, kinds[, text]`` of every row with an id; copies of a delivery stay copies."""
+def convert(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """``record_id, kinds, text`` of every row with an id; copies of a delivery stay copies."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = {"record_id": batch["record_id"], "kinds": [kinds(t) if t else [] for t in batch["text"]]}
-            yield pd.DataFrame(made | ({"text": [clean(t) for t in batch["text"]]} if with_text else {}))
+            made = [converted(t) for t in batch["text"]]
+            yield pd.DataFrame({"record_id": batch["record_id"], "kinds": [k for _, k in made], "text": [t for t, _ in made]})
 
     rows = df.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).alias("text")).where("record_id is not null")
-    return rows.mapInPandas(run, "record_id string, kinds array<string>" + (", text string" if with_text else ""))
+    return rows.mapInPandas(run, "record_id string, kinds array<string>, text string")

@@ -200,7 +200,7 @@ def p6_sanitised(spark, sf_dir):
 
 @_query("p2_found")
 def p2_found(spark, sf_dir):
-    found = markup.convert(table(spark, sf_dir, "cms_documents"), with_text=False)
+    found = markup.convert(table(spark, sf_dir, "cms_documents"))
     return found.select(F.col("record_id").alias("cms_id"), F.explode("kinds").alias("markup_kind")).distinct()
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowloom.llm import answers, leakage, markup, near_duplicates, packing, percentiles, personal_data, residue, splitting, text, vector_neighbours
+from sparrowloom.llm import answers, leakage, markup, near_duplicates, packing, percentiles, personal_data, queries, residue, splitting, text, vector_neighbours
 from sparrowloom.llm.hnsw import Graph
 
 LOREM = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix potions near an old stone bridge before dawn breaks over misty hills"
@@ -115,6 +115,14 @@ def test_clean_keeps_short_contents_of_one_kind():
     assert "Short" in markup.clean(f"Short<br>line{PROSE * 3}")
 
 
+def test_found_notations_come_from_the_conversion(spark):
+    found = queries.QUERIES["p2_found"](spark, "/root/testdata/sf0.001")
+    assert "MapInPandas run(" in (plan := found._jdf.queryExecution().toString()) and re.search(r"MapInPandas run\([^\n]*\[record_id#\d+, kinds#\d+, text#\d+\]", plan)
+    once = spark.read.parquet("/root/testdata/sf0.001/cms_documents.parquet").select("id", "content").distinct().collect()
+    assert {tuple(r) for r in found.collect()} == {(r.id, k) for r in once for k in markup.converted(r.content)[1]}
+    assert markup.converted("<p>One *two*</p>") == ("One two", ["html", "markdown"]) and markup.converted(None) == (None, [])
+
+
 @pytest.mark.parametrize("answer,defect", [(None, "empty"), ("​", "empty"), ("N/A", "empty"), ("Sorry, I can't help with that request.", "refusal"), ("How do I reset the widget for the night shift team?", "copied_question"), ("First open the panel and then", "truncated"), ("Yes.", None), ("I can't reproduce this, but here is what helps. Open the panel and wait for the next sync.", None)])
 def test_answer_votes(answer, defect):
     got = answers.votes("How do I reset the widget for the night shift team?", answer)
