@@ -163,7 +163,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kind = seed_kind(u)
                 title = i < 3 and len(tokens) <= 4 and kind == 0
                 start = " ".join(tokens[:3])
-                rows.append((key, host, field, xxhash.xxh64_intdigest(start) >> 1, kind, len(tokens), title, i, sorted(set(tokens)) if len(tokens) <= 40 else None))
+                rows.append((key, host, field, xxhash.xxh64_intdigest(start) >> 1, kind, len(tokens), title, i, sorted(set(tokens))))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _UNITS.split(", ")])
 
 
@@ -188,7 +188,7 @@ def classify(documents: DataFrame) -> DataFrame:
     seeds = stage(seeds.select("doc_id", F.when(F.col("classic"), "filler").otherwise(verdict(0.5)).alias("seed")).where("seed is not null"), "seeds")
     known = units.join(seeds, "doc_id", "left")
     # words that mark filler
-    marks = known.where("tokens is not null").select("seed", F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("seed") == "filler").alias("f"))
+    marks = known.select("seed", F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("seed") == "filler").alias("f"))
     marks = stage(marks.where((F.col("n") >= 3) & (F.col("f") >= MARK_SHARE * F.col("n"))).select("word"), "marks")
     # openings of units that are repeated across hosts in documents of one kind
     seen = known.where("kind = 0 and not title").groupBy("unit").agg(F.count("*").alias("n"), F.approx_count_distinct("host").alias("hosts"), *(F.count_if(F.col("seed") == k).alias(k) for k in KINDS))
@@ -196,7 +196,7 @@ def classify(documents: DataFrame) -> DataFrame:
     learned = seen.where((F.col("hosts") >= MIN_HOSTS) & (most >= MIN_SHARE * F.col("n")))
     learned = stage(learned.select("unit", F.when(F.col("filler") == most, 1).when(F.col("error_page") == most, 2).otherwise(3).alias("learned")), "learned")
     # second round, with what was learned
-    words = units.where("kind = 0 and tokens is not null").select("doc_id", "at", F.size("tokens").alias("all"), F.explode("tokens").alias("word"))
+    words = units.where("kind = 0").select("doc_id", "at", F.size("tokens").alias("all"), F.explode("tokens").alias("word"))
     filled = join_checked(words, marks, "word", "left_semi").groupBy("doc_id", "at").agg(F.first("all").alias("all"), F.count("*").alias("hits"))
     filled = filled.where("hits >= 0.7 * all").select("doc_id", "at", F.lit(1).alias("filled"))
     asked = join_checked(units.withColumn("kind", code).drop("host", "tokens"), learned, "unit", "left").join(filled, ["doc_id", "at"], "left")

@@ -147,5 +147,12 @@ def test_residue_of_nulls(spark):
     assert [(r.doc_id, r.residue_kind) for r in residue.classify(df).collect()] == [(3, "error_page")]
 
 
+def test_long_units_count_as_filler_too(spark):
+    latin = "vexilo quandor mirabus telentis orvam selquit drusca fendolis pramet hovicta limbrae zondur kelvatis urmena brosquil".split()
+    rows = [(i, "Lorem ipsum " + " ".join(latin) + ".", f"h{i}") for i in range(5)] + [(9, " ".join(latin[::-1] * 4), "h9"), (10, "the steady ledger of our weekend crew " * 10, "h10")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {(r.doc_id, r.residue_kind) for r in residue.classify(df).collect()} == {(i, "filler") for i in (0, 1, 2, 3, 4, 9)}
+
+
 def test_words():
     assert text.words("A_b, C-3d") == ["a", "b", "c", "3d"] and text.words(None) == []
