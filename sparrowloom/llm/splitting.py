@@ -105,15 +105,18 @@ def _pack(text: str, a: int, b: int, level: int, cap: int, limit: int) -> list[t
 def split(text: str, limit: int = 1000, overlap: int = 200) -> list[tuple[int, int, int, str]]:
     """Pieces ``(start, end, shared, boundary)`` of a text over the limit: the piece is
     text[start:end], its first ``shared`` characters end the piece before it, and
-    ``boundary`` names the kind of the cut before its own part ("start" at first)."""
+    ``boundary`` names the kind of the cut before its own part ("start" at first);
+    within a run of over ``limit`` characters without blanks it is forced, also at a sign."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     if len(text) <= limit:
         return [(0, len(text), 0, "start")]
     spans = _pack(text, 0, len(text), 0, limit - overlap, limit)
+    runs = [m.span() for m in re.finditer(rf"(?<![^ \t\r\n])[^ \t\r\n]{{{limit + 1},}}", text)]
     out = []
     for i, (a, b, level) in enumerate(spans):
         shared = min(overlap, limit - (b - a), a) if i else 0
+        level = 5 if any(s < a < e for s, e in runs) else level
         out.append((a - shared, b, shared, LEVELS[level] if i else "start"))
     return out
 

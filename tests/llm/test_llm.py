@@ -72,6 +72,13 @@ def test_pieces_lose_nothing(body):
     assert any(p[3] == "forced" for p in made) == bool(re.search(r"[^ \t\r\n]{1001}", body))
 
 
+@pytest.mark.parametrize("body", ["漢字仮名。" * 300, "<li>a</li><br>" * 100, "word " * 100 + "</p>x" * 300])
+def test_cuts_at_signs_of_an_unbroken_run_are_forced(body):
+    made = splitting.split(body)
+    assert "forced" in {p[3] for p in made} and "".join(body[a + s : b] for a, b, s, _ in made) == body
+    assert all(body[a + s - 1] in "。>" for a, _, s, _ in made[-1:])
+
+
 def test_every_long_shared_span_is_met(spark):
     w = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(["x", *w[20:30], "y"])), (2, " ".join(w[20:29])), (3, None)], "doc_id bigint, text string")
