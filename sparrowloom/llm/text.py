@@ -1,4 +1,4 @@
-"""Words, shingles and hashes shared by the text operators (numpy, no Spark)."""
+"""Words, shingles and hashes shared by the text operators, and bits of keys."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Maximal runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -55,3 +57,23 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         acc = mix(acc * _M1 + hashes[j : j + n] + np.uint64(j + 1))
     return acc
+
+
+class KeyBits:
+    """A bit for each of many 8-byte keys, modulo a fixed number of bits: bounded whatever
+    their number, so it may go to all workers. It tells what is surely no key; what
+    passes has to be joined with the keys all the same."""
+
+    def __init__(self, keys: DataFrame, column: str, log2: int = 24):
+        self.mask = (1 << log2) - 1
+        at = F.col(column).bitwiseAND(F.lit(self.mask))
+        made = keys.select(at.alias("at")).groupBy(F.shiftright("at", 15).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits")).collect()  # 2 ** (log2 - 15) rows of 4 kB at most
+        self.bits = np.zeros(((1 << log2) >> 15, 4096), np.uint8)
+        for r in made:
+            self.bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+        self.bits = self.bits.reshape(-1)
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each of these (int64) may be a key."""
+        at = keys & self.mask
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
