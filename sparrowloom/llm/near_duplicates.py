@@ -33,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import join_checked, stage
 from .components import components
-from .text import WordHasher, grams, mix, words
+from .text import KeyBits, WordHasher, grams, mix, words
 
 PARTS, WIDTH = 32, 3
 SLOTS = PARTS * WIDTH
@@ -50,38 +50,52 @@ SALT_ROWS = 1000
 ALL_PAIRS = 200
 
 _rng = np.random.RandomState(20240607)
-_MUL = (_rng.randint(0, 2**62, SKETCH, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_MUL = (_rng.randint(0, 2**62, SKETCH, dtype=np.int64).astype(np.uint64) << np.uint64(2)) | np.uint64(1)
 _ADD = _rng.randint(0, 2**62, SKETCH, dtype=np.int64).astype(np.uint64)
 
 
 def codes(sets: np.ndarray) -> np.ndarray:
-    """The SKETCH minimum hashes of one set of shingle hashes."""
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(sets), 4096):  # long texts in blocks, so that memory stays bounded
-        part = sets[at : at + 4096, None]
-        np.minimum(low, mix(part * _MUL[None, :] + _ADD[None, :]).min(axis=0), out=low)
+    """The SKETCH minimum hashes of one set of shingle hashes, which are mixed already: odd
+    multiples and sums permute them, and the high bits decide the minimum."""
+    low = None
+    for at in range(0, len(sets), 2048):  # long texts in blocks, so that memory stays bounded
+        part = (sets[at : at + 2048, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0)
+        low = part if low is None else np.minimum(low, part)
     return low
 
 
+def record_key(field: str, key: str) -> int:
+    """8 bytes that stand for a record in joins. Records that share them are both verified, under their ids."""
+    return int(np.uint64(xxhash.xxh64_intdigest(f"{field}\t{key}")).astype(np.int64))
+
+
+_SETS = "field_name string, id string, rec bigint, field bigint, n int, set_hash binary, s1 bigint, s2 bigint, slots binary, shingles array<bigint>"
+
+
 def shingle_rows(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
-        powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
-            rows = []
+            rows, lows = [], []
             for field, key, text in zip(batch["field_name"], batch["id"], batch["text"]):
                 sets = np.unique(grams(hasher(words(text)), k))
-                if not len(sets):
-                    continue
-                low = codes(sets)
-                bits = (low >> np.uint64(40)) & np.uint64(1)
-                s1, s2 = (int((bits[i : i + 64] * powers).sum(dtype=np.uint64).astype(np.int64)) for i in (0, 64))
-                rows.append((field, key, len(sets), xxhash.xxh3_128_hexdigest(sets.tobytes()), s1, s2, low[:SLOTS].astype(np.uint32).tobytes(), sets.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["field_name", "id", "n", "set_hash", "s1", "s2", "slots", "shingles"])
+                if len(sets):
+                    lows.append(codes(sets))
+                    rows.append((field, key, record_key(field, key), xxhash.xxh64_intdigest(field) >> 1, len(sets), xxhash.xxh3_128_digest(sets.tobytes()), sets.view(np.int64)))
+            if not rows:
+                continue
+            made = pd.DataFrame(rows, columns=["field_name", "id", "rec", "field", "n", "set_hash", "shingles"])
+            low = np.stack(lows)
+            bits = np.packbits(((mix(low) >> np.uint64(40)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            slots = mix(low[:, :SLOTS]).astype(np.uint32)
+            yield made.assign(s1=bits[:, 0], s2=bits[:, 1], slots=[x.tobytes() for x in slots])[_SETS_COLUMNS]
 
     return run
 
 
+_SETS_COLUMNS = [c.split()[0] for c in _SETS.split(", ")]
+
+
 def group_slots(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Partitions of correlated slots, and per partition the share of record pairs
     that agree in all slots but one. ``sample``: uint32, records x SLOTS."""
@@ -152,32 +166,37 @@ def _keys(slots: np.ndarray, chosen: np.ndarray, tag: int, field: np.ndarray) ->
     return key.view(np.int64)
 
 
-def _read(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    slots = np.frombuffer(b"".join(batch["slots"]), np.uint32).reshape(len(batch), SLOTS).astype(np.uint64)
-    return slots, np.array([xxhash.xxh64_intdigest(f) for f in batch["field_name"]], np.uint64)
+def _slots(batch: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["slots"]), np.uint32).reshape(len(batch), SLOTS).astype(np.uint64)
 
 
-def _postings(parts: np.ndarray, one_off: bool):
-    """Rows (field_name, id, n, s1, s2, part, key) of full keys, or of one-off keys of the partitions in column ``tau``."""
+_POST = "rec bigint, n int, s1 bigint, s2 bigint, part int, key bigint"
+
+
+def _postings(parts: np.ndarray, one_off: bool, wanted: KeyBits | None = None, bare: bool = False):
+    """Rows of full keys, or of one-off keys of the partitions in column ``tau`` (all without
+    it); with ``wanted`` only those that may be among its keys; ``bare``: the keys alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            slots, field = _read(batch)
-            base = batch[["field_name", "id", "n", "s1", "s2"]]
-            made = []
+            slots, field = _slots(batch), batch["field"].values.astype(np.uint64)
+            at, part, keys = [], [], []
+            tau = np.stack(batch["tau"].values) if "tau" in batch else None
             for p, chosen in enumerate(parts):
-                if not one_off:
-                    made.append(base.assign(part=p, key=_keys(slots, chosen, p, field)))
-                    continue
-                here = np.array([t is None or t[p] == 1 for t in batch["tau"]], bool)
-                if here.any():
-                    for out in range(WIDTH):
-                        key = _keys(slots[here], np.delete(chosen, out), 1000 + p * WIDTH + out, field[here])
-                        made.append(base[here].assign(part=p, key=key))
-            if made:
-                yield pd.concat(made, ignore_index=True)
+                here = np.arange(len(batch)) if tau is None else np.flatnonzero(tau[:, p] == 1)
+                for out in range(WIDTH) if one_off else (None,):
+                    key = _keys(slots[here], chosen if out is None else np.delete(chosen, out), p if out is None else 1000 + p * WIDTH + out, field[here])
+                    kept = slice(None) if wanted is None else wanted.maybe(key)
+                    at.append(here[kept])
+                    keys.append(key[kept])
+                    part.append(np.full(len(at[-1]), p, np.int32))
+            keys, at = np.concatenate(keys), np.concatenate(at)
+            if bare:
+                yield pd.DataFrame({"key": keys})
+            else:
+                yield pd.DataFrame({c: batch[c].values[at] for c in ("rec", "n", "s1", "s2")} | {"part": np.concatenate(part), "key": keys})
 
     return run
 
@@ -192,24 +211,21 @@ def _thresholds(one_off: np.ndarray, records: int):
                 for x in pairs:
                     cost0[i, x["part"]] = x["rows"] - 1
             tau = allocate(cost0, cost0 + 1e-3 + one_off[None, :] * records)
-            yield pd.DataFrame({"field_name": batch["field_name"], "id": batch["id"], "tau": [list(map(int, t)) for t in tau]})
+            yield pd.DataFrame({"rec": batch["rec"], "tau": [list(map(int, t)) for t in tau]})
 
     return run
 
 
-_POST = "field_name string, id string, n int, s1 bigint, s2 bigint, part int, key bigint"
-
-
 def _probe(probes: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of records with a key in common; ``index`` and ``probes`` know the ``rows`` of their keys."""
     p = (1 + threshold) / 2
     far = int(SKETCH * (1 - p) + 5 * (SKETCH * p * (1 - p)) ** 0.5)
     salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")
-    x = probes.select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "field_name", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "s1", "s2")))
-    y = index.select("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "s1", "s2")))
+    x = probes.select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *(F.col(c).alias(f"x_{c}") for c in ("rec", "n", "s1", "s2")))
+    y = index.select("key", F.pmod(F.xxhash64("rec"), salts).cast("int").alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("rec", "n", "s1", "s2")))
     near = F.bit_count(F.col("x_s1").bitwiseXOR(F.col("y_s1"))) + F.bit_count(F.col("x_s2").bitwiseXOR(F.col("y_s2"))) <= far
     sized = F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")
-    return x.join(y, ["key", "salt"]).where((F.col("x_id") != F.col("y_id")) & sized & near).select("field_name", F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    return x.join(y, ["key", "salt"]).where((F.col("x_rec") != F.col("y_rec")) & sized & near).select(F.least("x_rec", "y_rec").alias("a"), F.greatest("x_rec", "y_rec").alias("b"))
 
 
 def classes_and_links(texts: DataFrame, k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -220,45 +236,47 @@ def classes_and_links(texts: DataFrame, k: int = 5, threshold: float = 0.8) -> t
     * links ``(field_name, a, b, common, total)`` between the representatives of
       different sets whose similarity common / total is at least ``threshold``.
     """
-    sets = stage(
-        texts.select("field_name", "id", "text").where("id is not null and field_name is not null and length(text) > 0").mapInPandas(
-            shingle_rows(k), "field_name string, id string, n int, set_hash string, s1 bigint, s2 bigint, slots binary, shingles array<bigint>"
-        ),
-        "sets",
-    )
-    first = sets.groupBy("field_name", "set_hash").agg(F.min("id").alias("rep"))
-    members = stage(sets.select("field_name", "set_hash", "id").join(first, ["field_name", "set_hash"]).select("field_name", "rep", "id"), "members")
-    reps = stage(sets.drop("set_hash").join(members.where("rep = id").select("field_name", "id"), ["field_name", "id"], "left_semi"), "reps")
+    given = texts.select("field_name", "id", "text").where("id is not null and field_name is not null and length(text) > 0")
+    sets = stage(given.mapInPandas(shingle_rows(k), _SETS), "sets")
+    first = sets.groupBy("field_name", "set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
+    first = stage(first, "first")
+    copies = stage(join_checked(sets.select("field_name", "set_hash", "id", "rec"), first.where("size > 1").drop("size"), ["field_name", "set_hash"]), "copies")
+    members = first.where("size = 1").select("field_name", "rep", F.col("rep").alias("id")).union(copies.select("field_name", "rep", "id"))
+    reps = join_checked(sets.drop("set_hash"), copies.where("rep <> id").select("field_name", "id"), ["field_name", "id"], "left_anti")
 
     # the sample is the SAMPLE records of the smallest hash: the same whatever the partitioning
-    sample = reps.select("slots").orderBy(F.xxhash64("field_name", "id"), "id").limit(SAMPLE).collect()
+    sample = reps.select("slots").orderBy(F.xxhash64("rec"), "id").limit(SAMPLE).collect()
     parts, one_off = group_slots(np.frombuffer(b"".join(r[0] for r in sample), np.uint32).reshape(-1, SLOTS).astype(np.uint64))
 
-    light = reps.select("field_name", "id", "n", "s1", "s2", "slots")
-    posts = light.mapInPandas(_postings(parts, False), _POST)
-    counts = posts.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = stage(posts.join(counts, "key"), "shared")  # keys of a single record need no probe
+    light = stage(reps.select("rec", "field", "n", "s1", "s2", "slots"), "light")
+    # keys of a single record need no probe: first only the keys are counted, then the rows of shared ones are made
+    counts = stage(light.mapInPandas(_postings(parts, False, bare=True), "key bigint").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "counts")
+    posts = light.mapInPandas(_postings(parts, False, KeyBits(counts, "key")), _POST)
+    shared = stage(posts.join(counts, "key"), "shared")
 
-    busy = shared.groupBy("field_name", "id").agg(F.max("rows").alias("most"), F.collect_list(F.struct("part", "rows")).alias("counts")).where(F.col("most") > BUSY)
-    records = reps.count()
-    tau = stage(busy.select("field_name", "id", "counts").mapInPandas(_thresholds(one_off, records), "field_name string, id string, tau array<int>"), "tau")
-    probes = shared.join(tau, ["field_name", "id"], "left").where("tau is null or tau[part] >= 0")
+    busy = shared.groupBy("rec").agg(F.max("rows").alias("most"), F.collect_list(F.struct("part", "rows")).alias("counts")).where(F.col("most") > BUSY)
+    records = light.count()
+    tau = stage(busy.select("rec", "counts").mapInPandas(_thresholds(one_off, records), "rec bigint, tau array<int>"), "tau")
+    probes = shared.join(tau, "rec", "left").where("tau is null or tau[part] >= 0")
     found = _probe(probes, shared, threshold)
     wide = tau.where("array_max(tau) = 1")
     if wide.limit(1).count():
-        asked = stage(light.join(wide, ["field_name", "id"]).mapInPandas(_postings(parts, True), _POST), "asked")
-        everywhere = light.withColumn("tau", F.lit(None).cast("array<int>")).mapInPandas(_postings(parts, True), _POST)
-        index = everywhere.join(asked.select("key").distinct(), "key", "left_semi")
-        rows = index.groupBy("key").agg(F.count("*").alias("rows"))
+        asked = stage(light.join(wide, "rec").mapInPandas(_postings(parts, True), _POST), "asked")
+        # of all records only the one-off keys that some record asks for
+        keys = asked.select("key").distinct()
+        index = light.mapInPandas(_postings(parts, True, KeyBits(keys, "key")), _POST)
+        index = stage(index.join(keys, "key", "left_semi"), "index")
+        rows = index.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
         found = found.union(_probe(asked.join(rows, "key"), index.join(rows, "key"), threshold))
 
     pairs = stage(found.distinct(), "pairs")
-    body = reps.select("field_name", "id", "n", "shingles")
-    x = body.select("field_name", F.col("id").alias("a"), F.col("n").alias("an"), F.col("shingles").alias("ax"))
-    y = body.select("field_name", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("shingles").alias("bx"))
-    both = pairs.join(x, ["field_name", "a"]).join(y, ["field_name", "b"])
+    body = reps.select("rec", "field_name", "id", "n", "shingles")
+    x = body.select(F.col("rec").alias("a"), "field_name", F.col("id").alias("a_id"), F.col("n").alias("an"), F.col("shingles").alias("ax"))
+    y = body.select(F.col("rec").alias("b"), "field_name", F.col("id").alias("b_id"), F.col("n").alias("bn"), F.col("shingles").alias("bx"))
+    both = pairs.join(x, "a").join(y, ["b", "field_name"])
     common = F.size(F.array_intersect("ax", "bx"))
-    links = both.select("field_name", "a", "b", common.alias("common"), (F.col("an") + F.col("bn")).alias("sum")).where(F.col("common") >= F.lit(threshold) * (F.col("sum") - F.col("common")) - 1e-9)
+    links = both.select("field_name", F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), common.alias("common"), (F.col("an") + F.col("bn")).alias("sum"))
+    links = links.where(F.col("common") >= F.lit(threshold) * (F.col("sum") - F.col("common")) - 1e-9)
     return members, stage(links.select("field_name", "a", "b", "common", (F.col("sum") - F.col("common")).alias("total")), "links")
 
 
@@ -267,7 +285,7 @@ def similar_pairs(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     least ``threshold``, the smaller id first. Copies: within a class, and between
     two linked classes, all pairs are written if they are at most ALL_PAIRS squared
     / 2 (or ALL_PAIRS ** 2); of larger classes each member is paired with the
-    representative, to which all others are equal."""
+    representative, to which all others are equal; :func:`members` has the classes."""
     members, links = classes_and_links(texts, k, threshold)
     sizes = members.groupBy("field_name", "rep").agg(F.count("*").alias("size"))
     copied = stage(members.join(sizes.where("size > 1"), ["field_name", "rep"]), "copied")
@@ -287,6 +305,12 @@ def similar_pairs(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     return across.union(within).union(star)
 
 
+def members(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``field_name, rep, id``: the class of every record that has shingles, named by its
+    smallest id. Together with the pairs of the representatives this is the whole relation."""
+    return classes_and_links(texts, k, threshold)[0]
+
+
 def groups(texts: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per record that has shingles: ``field_name, id, class_id`` (the
     records of one shingle set), ``group_id`` (connected by links) and ``n_links``

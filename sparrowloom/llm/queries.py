@@ -30,6 +30,12 @@ def p1_found(spark, sf_dir):
     return near_duplicates.similar_pairs(texts, 3, 0.6).withColumnsRenamed({"a": "ticket_a", "b": "ticket_b"})
 
 
+@_query("p1_members")
+def p1_members(spark, sf_dir):
+    """The class of equal texts of every record, with the parameters of p1_found."""
+    return near_duplicates.members(near_duplicates.ticket_texts(table(spark, sf_dir, "support_tickets")), 3, 0.6)
+
+
 @_query("p1_groups")
 def p1_groups(spark, sf_dir):
     return near_duplicates.groups(near_duplicates.ticket_texts(table(spark, sf_dir, "support_tickets")))
