@@ -65,6 +65,32 @@ def required(expression: re.Pattern, most: int = 2) -> list[frozenset[str]]:
     return _needed(parser.parse(expression.pattern, expression.flags))[:most]
 
 
+def _first(items) -> frozenset[str] | None:
+    run = ""
+    for op, arg in items:
+        if op is ops.LITERAL:
+            run += folded(chr(arg))
+        elif op in (ops.AT, ops.ASSERT, ops.ASSERT_NOT):
+            continue
+        elif run:
+            break
+        elif op is ops.BRANCH:
+            parts = [_first(b) for b in arg[1]]
+            return frozenset().union(*parts) if all(parts) else None
+        elif op is ops.SUBPATTERN:
+            return _first(arg[3])
+        elif op is ops.IN and all(o is ops.LITERAL for o, _ in arg):
+            return frozenset(folded(chr(a)) for _, a in arg)
+        else:
+            return None
+    return frozenset([run]) if run else None
+
+
+def beginnings(expression: re.Pattern) -> tuple[str, ...]:
+    """Folded literals with one of which every match begins; the empty one if there are none such."""
+    return tuple(sorted(_first(parser.parse(expression.pattern, expression.flags)) or {""}))
+
+
 class Screen:
     """The names of the expressions that may match a text."""
 

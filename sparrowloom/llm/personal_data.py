@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stage
+from .literals import Screen, beginnings, folded
 
 TYPES = ("email", "phone", "identity_number", "street_address", "person_name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[PERSON]"}
@@ -69,14 +70,14 @@ _ES = re.compile(r"(?:\b(?:calle|avenida|avda\.?|av\.|paseo|plaza|camino|carrera
 #: Words that never stand in the name of a street; "way", "close" and "drive" are ordinary words, too.
 _ORDINARY = frozenset("a an the on in of to and or for is are was were be it its this that these those with by at as from only no not our your their my we you they he she i than then when where which who how all any each every more most some such same other another percent days hours minutes seconds agents rows entries times more after before until about messages use find keep make take go come be das der die und".split())
 
-#: The expressions above are tried only on texts that hold one of these.
-_ANY_DIGIT, _SIX, _SPOKEN = re.compile(r"\d"), re.compile(r"\d{6}"), re.compile(r" at [\w-]+(?:\.[a-z]|\sdot\s|\s?[(\[]dot)")
-_EMAIL_STEMS = ("@", "＠", "&#64;", "%40", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", "arroba")
-_ID_WORDS = frozenset("ssn social sozialnummer sozialversicherungsnummer national identity id identification passport passeport pasaporte reisepass pass passnummer passnr ausweis licence license führerschein permis permiso carné carnet carnt tax steuer steuernummer steueridentifikationsnummer steuerid fiscal sécurité seguridad dni nie nif cif curp documento carte pièce cédula cedula residence aufenthaltstitel card".split())
+#: The expressions above are tried only on texts that hold what every match of them holds: these
+#: signs of an address at some host, cues (which begin words), kinds of streets (which are words), stems.
+_ANY_DIGIT, _SIX = re.compile(r"\d"), re.compile(r"\d{6}")
+_MAILISH = re.compile(r"[@＠]|&#64;|%40|[(\[{<]\s?(?:at|arroba)\s?[)\]}>]|\sat\s[a-z0-9-]+(?:\.|\sdot\s|\s?[(\[]dot[)\]])", re.I)
+_CUES = beginnings(_ID)
+_STEMS = Screen({"de": _DE, "es": _ES})
 _FR_WORDS = frozenset("rue avenue av boulevard bd chemin impasse place allée quai cours route passage square sentier ruelle faubourg".split())
-_ES_WORDS = frozenset("calle avenida avda av paseo plaza camino carrera ronda travesía callejón vía c".split())
 _EN_WORDS = frozenset(_TYPE[3:-1].split("|"))
-_DE_STEMS = ("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "ufer ", "damm ", "steig ", "graben ", "chaussee ", "promenade ")
 _DIGITS = frozenset(("zero", "oh", "double", "un", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf"))
 _SIMPLE = re.compile(r"[^\W\d_]+")
 _INITIAL = re.compile(r" [A-Z]\.")
@@ -128,13 +129,13 @@ def shaped(text: str, streets: frozenset = frozenset(), words: list[str] | None
         found.extend((a, b, kind) for a, b in new)
         text = _blank(text, new)
 
-    low = text.lower()
+    low = folded(text)
     words = _SIMPLE.findall(low) if words is None else words
     own = set(words)
-    if any(x in low for x in _EMAIL_STEMS) or _SPOKEN.search(low):
+    if _MAILISH.search(text):
         take([m.span() for m in _EMAIL.finditer(text)], "email")
     if _ANY_DIGIT.search(text):
-        if not own.isdisjoint(_ID_WORDS) or any(x in low for x in ("ausweis", "führerschein", "steuer", "sozial")):
+        if any(w.startswith(_CUES) for w in own):
             take([m.span() for m in _ID.finditer(text)], "identity_number")
         if _SIX.search(text):
             take([m.span() for m in _ID_SHAPE.finditer(text)], "identity_number")
@@ -158,9 +159,10 @@ def _addresses(text: str, low: str, own: set, streets: frozenset) -> list[tuple[
     out = []
     if not own.isdisjoint(_FR_WORDS):
         out += [m.span() for m in _FR.finditer(text)]
-    if not own.isdisjoint(_ES_WORDS):
+    stems = _STEMS.names(low)
+    if "es" in stems:
         out += [m.span() for m in _ES.finditer(text)]
-    if any(x in low for x in _DE_STEMS):
+    if "de" in stems:
         for m in _DE.finditer(text):
             left = _LEFT_DE.search(text, max(0, m.start() - 60), m.start())
             start = left.start() if left else m.start()
@@ -240,7 +242,7 @@ def names(text: str, know: Knowledge, own: list[str] | None = None) -> list[tupl
 
 def items(text: str, know: Knowledge) -> list[tuple[int, int, str]]:
     """All items of a text as ``(start, end, type)``, by start."""
-    words = _SIMPLE.findall(text.lower())
+    words = _SIMPLE.findall(folded(text))
     found = shaped(text, know.streets, words)
     rest = _blank(text, [(a, b) for a, b, _ in found])
     return sorted(found + [(a, b, "person_name") for a, b in names(rest, know, words)])
@@ -273,7 +275,7 @@ def _count(given: frozenset, family: frozenset):
             n, low, as_given, after, street = Counter(), Counter(), Counter(), Counter(), Counter()
             for text in batch["text"]:
                 words = _SIMPLE.findall(text)
-                lower = [w.lower() for w in words]
+                lower = [folded(w) for w in words]
                 found = shaped(text, words=lower)
                 for a, b, kind in found:
                     if kind == "street_address":
