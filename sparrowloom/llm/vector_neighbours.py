@@ -71,22 +71,49 @@ def fit_shards(sample: np.ndarray, shards: int, rounds: int = 8) -> tuple[np.nda
         centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres).astype(np.float32)
     share = np.bincount(own, minlength=cells) / n
     limit = max(1.5 / shards, 1e-9)
-    label, sums = np.arange(cells), centres * share[:, None]
+    return centres, merge_cells(centres, share, limit)
+
+
+def merge_cells(centres: np.ndarray, share: np.ndarray, limit: float) -> np.ndarray:
+    """Number of the shard of each cell: the two most similar cells whose shares together stay
+    within ``limit`` are merged, until there are none such. Every cell knows its best partner,
+    and a merger asks anew only for the cells whose partner it was: time and memory grow
+    with the square of the cells, and with the cells."""
+    cells = len(centres)
+    label, share, alive = np.arange(cells), share.astype(np.float64).copy(), np.ones(cells, bool)
+    sums = centres.astype(np.float64) * share[:, None]
+    unit = centres.astype(np.float32).copy()
+    best, partner = np.full(cells, -9.0), np.zeros(cells, np.int64)
+
+    def ask(rows: np.ndarray) -> None:
+        for at in range(0, len(rows), 1000):
+            r = rows[at : at + 1000]
+            like = unit[r] @ unit.T
+            like[:, ~alive] = -9
+            like[share[r][:, None] + share[None, :] > limit] = -9
+            like[np.arange(len(r)), r] = -9
+            partner[r] = like.argmax(axis=1)
+            best[r] = like[np.arange(len(r)), partner[r]]
+
+    ask(np.arange(cells))
     while True:
-        unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        like = unit @ unit.T
-        alive = np.flatnonzero(np.bincount(label, minlength=cells) > 0)
-        allowed = np.full(like.shape, False)
-        allowed[np.ix_(alive, alive)] = share[alive][:, None] + share[alive][None, :] <= limit
-        np.fill_diagonal(allowed, False)
-        if not allowed.any():
+        a = int(best.argmax())
+        if best[a] <= -9:
             break
-        a, b = np.unravel_index(np.argmax(np.where(allowed, like, -9)), like.shape)
+        b = int(partner[a])
         label[label == b] = a
         sums[a] += sums[b]
         share[a] += share[b]
-        sums[b], share[b] = 0, 0
-    return centres, np.unique(label, return_inverse=True)[1]
+        alive[b], best[b] = False, -9
+        unit[a] = sums[a] / max(np.linalg.norm(sums[a]), 1e-12)
+        stale = np.flatnonzero(alive & ((partner == a) | (partner == b)) & (best > -9))
+        ask(np.union1d(stale, [a]))
+        # others may now like the merged cell best
+        like = unit @ unit[a]
+        better = alive & (like > best) & (share + share[a] <= limit)
+        better[a] = False
+        best[better], partner[better] = like[better], a
+    return np.unique(label, return_inverse=True)[1]
 
 
 def _route(centres: np.ndarray, label: np.ndarray):
@@ -130,6 +157,22 @@ def _search(k: int, m: int, ef: int, floor: float):
     return run
 
 
+def one_a_task(routed: DataFrame) -> DataFrame:
+    """The rows by shard, each shard in a task of its own: column ``slot`` is a number that
+    hashes into a partition that no other shard has. Shards, not rows, come to the driver."""
+    spark = routed.sparkSession
+    shards = [r["shard"] for r in routed.select("shard").distinct().collect()]
+    if len(shards) <= 1:
+        return routed.withColumn("slot", F.lit(0).cast("bigint")).repartition(1)
+    n, slots, span = len(shards), {}, 0
+    while len(slots) < n:
+        span = max(64, 16 * n, 2 * span)
+        rows = spark.range(span).groupBy(F.expr(f"pmod(hash(id), {n})").alias("at")).agg(F.min("id").alias("id")).collect()
+        slots = {r["at"]: r["id"] for r in rows}
+    named = spark.createDataFrame([(int(s), int(slots[i])) for i, s in enumerate(sorted(shards))], "shard int, slot bigint")
+    return routed.join(F.broadcast(named), "shard").repartition(n, "slot")
+
+
 def usable(vector: str, dim: int):
     """Condition: exactly ``dim`` numbers, finite, not all zero."""
     v = F.col(vector)
@@ -162,7 +205,7 @@ def neighbours(df: DataFrame, k: int = 10, id_col: str = "id", vector_col: str =
             spread = routed.withColumn("split", F.explode(F.sequence(F.lit(0), F.coalesce(splits, F.lit(1)) - 1))).withColumn("home", F.col("home") & (F.col("split") == own))
             routed = spread.withColumn("shard", F.col("shard") * 100_000 + F.col("split")).drop("split")
             shards = sum(sizes.values())
-    found = routed.repartition(2 * shards, "shard").groupBy("shard").applyInPandas(_search(k, m, ef, floor), "id string, neighbour string, similarity double")
+    found = one_a_task(routed).groupBy("slot").applyInPandas(_search(k, m, ef, floor), "id string, neighbour string, similarity double")
     # classes of equal vectors stand by their members, of which k + 1 are enough to fill any list
     first = Window.partitionBy("rep").orderBy("id")
     copied = classes.where("copied").select(F.col("id").alias("rep"), "vector")
