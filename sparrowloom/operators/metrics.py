@@ -7,6 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stage
+from .percentiles import nearest_rank
+
 #: USD per 1000 tokens, input and output. Fixed values.
 PRICES = {
     "gpt-4o": (0.005, 0.015),
@@ -43,28 +46,13 @@ def histogram(value: Column, bounds: tuple[int, ...], name: str) -> list[Column]
 
 def performance(responses: DataFrame) -> DataFrame:
     """One row: count, mean, nearest-rank percentiles, extremes, component means, latency histogram; zeros if there are no rows."""
-    total = number("timings.total")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     parts = ("llm_api_time", "rag_retrieval_time", "plugin_execution_time", "db_query_time", "time_to_first_token", "time_to_last_token")
-    pct = [zero(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY total)")).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
     means = [zero(F.avg(f"m_{p}")).alias(f"avg_{p}") for p in parts]
-    flat = responses.select(total.alias("total"), *(skip_zero(f"timings.{p}").alias(f"m_{p}") for p in parts))
-    return flat.agg(F.count("*").alias("n"), zero(F.avg("total")).alias("avg_total"), *pct, zero(F.min("total")).alias("min_total"), zero(F.max("total")).alias("max_total"), *means, *histogram(F.col("total"), LATENCY_BOUNDS, "bucket"))
-
-
-def retrieval(responses: DataFrame) -> DataFrame:
-    """One row over the responses with retrieval: means, hit and miss rates over known hits, success rate."""
-    on = responses.where("rag.enabled")
-    known = F.count("rag.cache_hit")
-    rate = lambda n, d: F.coalesce(F.try_divide(n, d), F.lit(0.0))
-    return on.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.avg("rag.documents_retrieved"), F.lit(0.0)).alias("avg_documents"),
-        *(F.coalesce(F.avg(skip_zero(f"rag.{c}")), F.lit(0.0)).alias(f"avg_{c}") for c in ("vector_search_time", "embedding_time", "avg_similarity_score")),
-        rate(F.count_if("rag.cache_hit"), known).alias("hit_rate"),
-        rate(F.count_if(~F.col("rag.cache_hit")), known).alias("miss_rate"),
-        rate(F.count_if("success"), F.count("*")).alias("success_rate"),
-    )
+    flat = stage(responses.select(number("timings.total").alias("total"), *(skip_zero(f"timings.{p}").alias(f"m_{p}") for p in parts)), "timings")
+    one = flat.agg(F.count("*").alias("n"), zero(F.avg("total")).alias("avg_total"), zero(F.min("total")).alias("min_total"), zero(F.max("total")).alias("max_total"), *means, *histogram(F.col("total"), LATENCY_BOUNDS, "bucket"))
+    ranks = nearest_rank(flat, "total", (500, 950, 990), 0.0)
+    return one.crossJoin(ranks.select(*(F.col(f"p{p}0").alias(f"p{p}") for p in (50, 95, 99))))  # a row each
 
 
 def priced(responses: DataFrame) -> DataFrame:
@@ -91,17 +79,3 @@ def bucket(ts: str, unit: str) -> Column:
 def time_series(responses: DataFrame, unit: str) -> DataFrame:
     rows = responses.withColumn("bucket", bucket("ts", unit)).groupBy("bucket")
     return rows.agg(F.count("*").alias("n"), F.round(F.avg(number("timings.total")), 6).alias("latency"), F.coalesce(F.sum("tokens.total_tokens"), F.lit(0)).alias("tokens"), F.count_if(~F.col("success")).alias("errors"))
-
-
-def errors(responses: DataFrame) -> DataFrame:
-    """Failed responses by type; ``rate`` is their share of all responses."""
-    failed = responses.where("not success").groupBy(F.coalesce("error_type", F.lit("unknown")).alias("error_type")).agg(F.count("*").alias("n"))
-    return failed.crossJoin(F.broadcast(responses.agg(F.count("*").alias("total")))).select("error_type", "n", (F.col("n") / F.col("total")).alias("rate"))
-
-
-def conversations(requests: DataFrame) -> DataFrame:
-    """One row: threads, messages, abandonment (threads of one message) and lengths."""
-    threads = requests.where("thread_id is not null").groupBy("thread_id").agg(F.count("*").alias("size"), ((F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))) / 1).alias("ms"))
-    one = threads.agg(F.count("*").alias("threads"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("avg_messages"), F.coalesce(F.avg("ms"), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.try_divide(F.count_if(F.col("size") == 1), F.count("*")), F.lit(0.0)).alias("abandonment"))
-    lengths = requests.agg(F.count("*").alias("messages"), *histogram(F.col("message_length"), (50, 200, 500), "length"))
-    return one.crossJoin(lengths)  # two rows of aggregates

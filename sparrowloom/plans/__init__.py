@@ -1,3 +1,3 @@
 """Registered core queries: each module adds its own when imported."""
 
-from . import dialect, logs, whole  # noqa: F401
+from . import dialect, events, logs, records, retrieval, stored, whole, words  # noqa: F401

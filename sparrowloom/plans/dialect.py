@@ -24,61 +24,18 @@ def _add(name: str, sql: str, duck: str | None = None) -> None:
     query(name, oracle)(run)
 
 
-_add("filter_log", "SELECT id, agent_id, response_length FROM {R} WHERE agent_id = 'agt-0001' AND success AND ts >= TIMESTAMP '2025-01-01 00:00:00'")
-_add("filter_query_options", "SELECT id, thread_id FROM {Q} WHERE agent_id = 'agt-0001' AND thread_id IS NOT NULL ORDER BY ts DESC, id LIMIT 20 OFFSET 5")
-_add("filter_support_facets", "SELECT id, lower(trim(category)) AS category, status FROM {K} WHERE lower(trim(category)) = 'billing' AND status IN ('open', 'pending')")
-_add("filter_docs_facets", "SELECT id, lower(doc_type) AS doc_type FROM {C} WHERE lower(doc_type) = 'blog' AND contains(lower(title), 'using')")
-_add("agg_thread_stats", "SELECT thread_id, count(*) AS messages, count(DISTINCT role) AS roles, max(seq) AS last_seq FROM {M} WHERE thread_id IS NOT NULL GROUP BY thread_id")
-_add("agg_summary", "SELECT count(*) AS requests, count(DISTINCT thread_id) AS threads, count(DISTINCT user_id) AS users FROM {Q}")
-_add("agg_counts_storage", "SELECT agent_id, count(*) AS n FROM {Q} GROUP BY agent_id")
-_add("agg_support_stats", "SELECT agent_id, status, count(*) AS n FROM {K} GROUP BY agent_id, status")
 _add("agg_default_stats", "SELECT agent_id, count(*) AS n FROM {G} GROUP BY agent_id")
-_add("agg_distinct_types", "SELECT DISTINCT lower(doc_type) AS doc_type FROM {C}")
-_add("agg_mongo_rollup", "SELECT agent_id, count(*) AS n, CAST(sum(coalesce(tokens.total_tokens, 0)) AS BIGINT) AS tokens, sum(CASE WHEN success THEN 0 ELSE 1 END) / CAST(count(*) AS DOUBLE) AS error_rate FROM {R} GROUP BY agent_id")
-_add("agg_user_sessions", "SELECT user_id, count(*) AS n, count(DISTINCT thread_id) AS threads FROM {Q} WHERE user_id IS NOT NULL GROUP BY user_id")
 _add("join_thread_agent", "SELECT q.id, q.agent_id, a.agent_name FROM {Q} q JOIN {agents} a ON q.agent_id = a.agent_id")
-_add("join_req_res", "SELECT q.id AS request_id, count(r.id) AS answers, coalesce(sum(r.response_length), 0) AS length FROM {Q} q LEFT JOIN {R} r ON r.request_id = q.id GROUP BY q.id".replace("coalesce(sum(r.response_length), 0)", "CAST(coalesce(sum(r.response_length), 0) AS BIGINT)"))
 _add("join_anti_existing", "SELECT q.id FROM {Q} q LEFT ANTI JOIN {R} r ON r.request_id = q.id", "SELECT id FROM {Q} q WHERE NOT EXISTS (SELECT 1 FROM {R} r WHERE r.request_id = q.id)")
-_add("join_semi_ids", "SELECT q.id FROM {Q} q LEFT SEMI JOIN {R} r ON r.request_id = q.id AND NOT r.success", "SELECT id FROM {Q} q WHERE EXISTS (SELECT 1 FROM {R} r WHERE r.request_id = q.id AND NOT r.success)")
-_add("win_last_n_messages", "SELECT message_id, thread_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq DESC) AS k FROM {M}) WHERE k <= 20")
-_add("win_sample_every_n", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY agent_id ORDER BY ts, id) AS k FROM {R}) WHERE k % 10 = 0")
-_add("win_recent_errors", "SELECT id, agent_id, error_type FROM {R} WHERE NOT success ORDER BY ts DESC, id LIMIT 10")
 _add("sort_agents_desc", "SELECT agent_id, organization_id FROM {agents} ORDER BY created_at DESC, agent_id LIMIT 50")
-_add("set_except_keys", "SELECT thread_id FROM {M} WHERE thread_id IS NOT NULL EXCEPT SELECT thread_id FROM {R}")
 _add("set_union_all", "SELECT id, 'rag' AS kind FROM {G} UNION ALL SELECT id, 'cms' AS kind FROM {C}")
 _add("set_distinct", "SELECT DISTINCT provider, model FROM {R}")
-_add("set_intersect_tags", "SELECT id FROM {K} WHERE arrays_overlap(tags, array('refund', 'urgent', 'api', 'billing'))", "SELECT id FROM {K} WHERE list_has_any(tags, ['refund', 'urgent', 'api', 'billing'])")
 _add("fn_estimate_tokens", "SELECT id, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM {G} WHERE content IS NOT NULL")
-_add("fn_bucket_key", "SELECT id, concat('user:', coalesce(nullif(user_id, ''), 'anonymous')) AS bucket FROM {Q}")
 _add("fn_latency_band", "SELECT id, CASE WHEN timings.total < 500 THEN 'green' WHEN timings.total < 2000 THEN 'yellow' ELSE 'red' END AS band FROM {R} WHERE timings.total IS NOT NULL")
 _add("fn_truncate_ellipsis", "SELECT message_id, CASE WHEN length(content) > 100 THEN concat(substring(content, 1, 100), '...') ELSE content END AS text FROM {M} WHERE content IS NOT NULL")
 _add("fn_url_to_id", "SELECT id, substring(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[^a-zA-Z0-9]+', '-'), '^-|-$', ''), 1, 100) AS page FROM {C} WHERE url IS NOT NULL", "SELECT id, substring(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[^a-zA-Z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 100) AS page FROM {C} WHERE url IS NOT NULL")
-_add("fn_blocked_topics", "SELECT message_id, contains(lower(content), 'password') AS password, contains(lower(content), 'currency') AS currency FROM {M} WHERE content IS NOT NULL")
-_add("sink_delete_older", "SELECT sum(CASE WHEN ts < TIMESTAMP '2025-06-01 00:00:00' THEN 1 ELSE 0 END) AS deleted, sum(CASE WHEN ts >= TIMESTAMP '2025-06-01 00:00:00' THEN 1 ELSE 0 END) AS kept FROM {R}".replace("sum(", "count_if(").replace(" THEN 1 ELSE 0 END", "").replace("CASE WHEN ", ""))
-_add("sink_upsert_cms", "SELECT coalesce(n.id, o.id) AS id, coalesce(lower(n.doc_type), lower(o.doc_type), 'content') AS doc_type FROM (SELECT * FROM {C} WHERE tenant_id IS NOT NULL) o FULL JOIN (SELECT * FROM {C} WHERE title IS NOT NULL) n ON o.id = n.id")
-_add("ent_list_threads", "SELECT thread_id, count(*) AS messages FROM {M} WHERE thread_id IS NOT NULL GROUP BY thread_id ORDER BY max(ts) DESC, thread_id LIMIT 100")
-_add("ent_pending_threads", "SELECT thread_id FROM {M} WHERE thread_id IS NOT NULL GROUP BY thread_id HAVING count(CASE WHEN role = 'assistant' THEN 1 END) = 0")
 
 _MAIL = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z][a-zA-Z]+"
 _SPACE = "[ \t\n\r]+"
 _add("fn_clean_text", f"SELECT id, trim(regexp_replace(content, '{_SPACE}', ' ')) AS text FROM {{C}} WHERE content IS NOT NULL", f"SELECT id, trim(regexp_replace(content, '{_SPACE}', ' ', 'g')) AS text FROM {{C}} WHERE content IS NOT NULL")
-_add("fn_strip_html", f"SELECT id, trim(regexp_replace(regexp_replace(content, '<[^>]*>', ' '), '{_SPACE}', ' ')) AS text FROM {{C}} WHERE content IS NOT NULL", f"SELECT id, trim(regexp_replace(regexp_replace(content, '<[^>]*>', ' ', 'g'), '{_SPACE}', ' ', 'g')) AS text FROM {{C}} WHERE content IS NOT NULL")
-_add("fn_pii_detect", f"SELECT id, size(regexp_extract_all(description, '{_MAIL}', 0)) AS emails FROM {{K}} WHERE description IS NOT NULL", f"SELECT id, CAST(len(regexp_extract_all(description, '{_MAIL}')) AS INTEGER) AS emails FROM {{K}} WHERE description IS NOT NULL")
-_add("fn_pii_mask", f"SELECT id, regexp_replace(description, '{_MAIL}', '[REDACTED]') AS text FROM {{K}} WHERE description IS NOT NULL", f"SELECT id, regexp_replace(description, '{_MAIL}', '[REDACTED]', 'g') AS text FROM {{K}} WHERE description IS NOT NULL")
-_add("fn_keyword_match", "SELECT message_id FROM {M} WHERE contains(lower(content), 'invoice') OR contains(lower(content), 'refund')")
-_add("fn_moderation_verdict", f"SELECT message_id, NOT regexp_like(content, '{_MAIL}') AND NOT contains(lower(content), 'password') AS passed FROM {{M}} WHERE content IS NOT NULL", f"SELECT message_id, NOT regexp_matches(content, '{_MAIL}') AND NOT contains(lower(content), 'password') AS passed FROM {{M}} WHERE content IS NOT NULL")
-_add("fn_chunk_fixed", "SELECT id, start, substring(content, start + 1, 1000) AS chunk FROM (SELECT id, content, explode(sequence(0, greatest(length(content) - 1, 0), 800)) AS start FROM {G} WHERE length(content) > 0)", "SELECT id, CAST(start AS INTEGER) AS start, substring(content, start + 1, 1000) AS chunk FROM (SELECT id, content, unnest(range(0, length(content), 800)) AS start FROM {G} WHERE length(content) > 0)")
 _add("fn_time_of_day", "SELECT id, date_format(ts, 'HH:mm:ss.SSS') AS at FROM {Q}", "SELECT id, strftime(ts, '%H:%M:%S.%g') AS at FROM {Q}")
-_add("fn_next_reset", "SELECT id, date_format(date_trunc('day', ts) + INTERVAL 1 DAY, 'yyyy-MM-dd') AS day_end, date_format(add_months(trunc(ts, 'MONTH'), 1), 'yyyy-MM-dd') AS month_end FROM {Q}", "SELECT id, strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d') AS day_end, strftime(date_trunc('month', ts) + INTERVAL 1 MONTH, '%Y-%m-%d') AS month_end FROM {Q}")
-_add("fn_support_boost", "SELECT id, CASE WHEN status = 'resolved' THEN 1.2D ELSE 1.0D END * length(subject) AS score FROM {K} WHERE subject IS NOT NULL", "SELECT id, CASE WHEN status = 'resolved' THEN CAST(1.2 AS DOUBLE) ELSE 1.0 END * length(subject) AS score FROM {K} WHERE subject IS NOT NULL")
-_add("src_requests_scan", "SELECT id, agent_id, thread_id, user_id, message_length, model, provider FROM {Q}")
-_add("src_responses_scan", "SELECT id, request_id, agent_id, response_length, success, error_type, model FROM {R}")
-_add("agg_console_stats", "SELECT count(*) AS responses, CAST(floor(avg(response_length) + 0.5) AS BIGINT) AS avg_length FROM {R}")
-_add("agg_ingest_result", "SELECT count(CASE WHEN content IS NOT NULL THEN 1 END) AS indexed, count(CASE WHEN content IS NULL THEN 1 END) AS failed FROM {C}")
-_add("ent_get_messages", "SELECT message_id, thread_id, role, content FROM {M} WHERE role <> 'system' AND thread_id IS NOT NULL")
-_add("ent_storage_stats", "SELECT count(DISTINCT agent_id) AS agents, count(DISTINCT thread_id) AS threads, count(*) AS messages FROM {M}")
-_add("ent_context", "SELECT thread_id, role, seq FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq DESC) AS k FROM {M}) WHERE k <= 5")
-_add("sink_delete_cms", "SELECT id FROM {C} WHERE lower(doc_type) <> 'landing'")
-_add("win_chunk_position", "SELECT id, CAST(row_number() OVER (PARTITION BY agent_id ORDER BY id) - 1 AS BIGINT) AS position FROM {G}")
-_add("win_budget_warning", "SELECT agent_id, min(ts_day) AS day FROM (SELECT agent_id, date_format(ts, 'yyyy-MM-dd') AS ts_day, sum(tokens.total_tokens) AS used FROM {R} GROUP BY agent_id, date_format(ts, 'yyyy-MM-dd')) WHERE used >= 16000 GROUP BY agent_id", "SELECT agent_id, min(ts_day) AS day FROM (SELECT agent_id, strftime(ts, '%Y-%m-%d') AS ts_day, sum(tokens.total_tokens) AS used FROM {R} GROUP BY ALL) WHERE used >= 16000 GROUP BY agent_id")
-_add("fn_field_label", "SELECT DISTINCT initcap(replace(part_kind, '_', ' ')) AS label FROM (SELECT lower(doc_type) AS part_kind FROM {C}) WHERE part_kind IS NOT NULL", "SELECT DISTINCT concat(upper(part_kind[1]), substring(part_kind, 2)) AS label FROM (SELECT lower(doc_type) AS part_kind FROM {C}) WHERE part_kind IS NOT NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import metrics, policies
+from ..operators import metrics
 from ..registry import query
 from ..runtime import latest, table
 
@@ -40,9 +40,6 @@ _SUMS = "round(sum(cost), 6) AS cost, CAST(sum(coalesce(tokens.total_tokens, 0))
 
 query("agg_performance", f"""SELECT count(*) AS n, coalesce(avg(t), 0.0) AS avg_total, {", ".join(f"coalesce(quantile_disc(t, {p}), 0.0) AS p{int(p * 100)}" for p in (0.5, 0.95, 0.99))},
     coalesce(min(t), 0.0) AS min_total, coalesce(max(t), 0.0) AS max_total, {", ".join(f"{_mean0('timings.' + p)} AS avg_{p}" for p in _PARTS)}, {_hist("t", metrics.LATENCY_BOUNDS, "bucket")} FROM (SELECT *, {T} AS t FROM {R})""")(lambda s, d: metrics.performance(_responses(s, d)))
-query("agg_rag", f"""SELECT count(*) AS n, coalesce(avg(rag.documents_retrieved), 0.0) AS avg_documents, {", ".join(f"{_mean0('rag.' + c)} AS avg_{c}" for c in ("vector_search_time", "embedding_time", "avg_similarity_score"))},
-    coalesce(count(*) FILTER (WHERE rag.cache_hit) / nullif(count(rag.cache_hit), 0), 0.0) AS hit_rate, coalesce(count(*) FILTER (WHERE NOT rag.cache_hit) / nullif(count(rag.cache_hit), 0), 0.0) AS miss_rate,
-    coalesce(count(*) FILTER (WHERE success) / nullif(count(*), 0), 0.0) AS success_rate FROM {R} WHERE rag.enabled""")(lambda s, d: metrics.retrieval(_responses(s, d)))
 query("agg_cost_by_model", f"SELECT coalesce(model, 'unknown') AS model, {_SUMS} FROM ({_COST}) GROUP BY ALL")(lambda s, d: metrics.cost_by(_responses(s, d), F.coalesce("model", F.lit("unknown")), "model"))
 query("agg_cost_by_agent", f"SELECT agent_id, {_SUMS} FROM ({_COST}) GROUP BY ALL")(lambda s, d: metrics.cost_by(_responses(s, d), F.col("agent_id"), "agent_id"))
 query("agg_cost_daily", f"SELECT strftime(ts, '%Y-%m-%d') AS day, {_SUMS} FROM ({_COST}) GROUP BY ALL")(lambda s, d: metrics.cost_by(_responses(s, d), F.date_format("ts", "yyyy-MM-dd"), "day"))
@@ -51,30 +48,6 @@ for _unit, _key, _sql in (("hour", "agg_time_series_hour", "date_trunc('hour', t
     query(_key, f"""SELECT strftime({_sql}, '%Y-%m-%d %H') AS bucket, count(*) AS n, round(avg({T}), 6) AS latency, CAST(coalesce(sum(tokens.total_tokens), 0) AS BIGINT) AS tokens, count(*) FILTER (WHERE NOT success) AS errors FROM {R} GROUP BY ALL""")(
         lambda s, d, u=_unit: metrics.time_series(_responses(s, d), u).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH"))
     )
-query("agg_errors", f"SELECT coalesce(error_type, 'unknown') AS error_type, count(*) AS n, count(*) / (SELECT count(*) FROM {R}) AS rate FROM {R} WHERE NOT success GROUP BY ALL")(lambda s, d: metrics.errors(_responses(s, d)))
-query("agg_conversation", f"""WITH t AS (SELECT thread_id, count(*) AS size, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS ms FROM {Q} WHERE thread_id IS NOT NULL GROUP BY 1)
-    SELECT * FROM (SELECT count(*) AS threads, avg(size) AS avg_messages, avg(ms) AS avg_ms, count(*) FILTER (WHERE size = 1) / count(*) AS abandonment FROM t), (SELECT count(*) AS messages, {_hist("message_length", (50, 200, 500), "length")} FROM {Q})""")(lambda s, d: metrics.conversations(_requests(s, d)))
-
-
-def _budget_log(s, d):
-    return _responses(s, d).select("id", "agent_id", "ts", F.col("id").alias("seq"), F.coalesce("tokens.total_tokens", F.lit(0)).alias("tokens"))
-
-
-_BUDGET = f"""SELECT id, agent_id, CAST(sum(t) OVER w AS BIGINT) AS used_after, CAST(sum(t) OVER w - t AS BIGINT) AS used_before FROM (SELECT *, coalesce(tokens.total_tokens, 0) AS t FROM {R})
-    WINDOW w AS (PARTITION BY agent_id, date_trunc('day', ts) ORDER BY ts, id ROWS UNBOUNDED PRECEDING)"""
-query("win_budget_usage", _BUDGET)(lambda s, d: policies.budget(_budget_log(s, d), "agent_id", 20_000).select("id", "agent_id", "used_after", "used_before"))
-query("win_budget_status", f"SELECT id, used_before >= 20000 AS exceeded, greatest(0, 20000 - used_before) AS left_over, used_before / 20000.0 * 100 AS percent FROM ({_BUDGET})")(
-    lambda s, d: policies.budget(_budget_log(s, d), "agent_id", 20_000).select("id", "exceeded", F.greatest(F.lit(0), 20_000 - F.col("used_before")).alias("left_over"), "percent")
-)
-
-
-@query("win_rate_limit", f"""WITH RECURSIVE o AS (SELECT id, user_key, t, row_number() OVER (PARTITION BY user_key ORDER BY t, id) AS k FROM (SELECT id, coalesce(user_id, 'anonymous') AS user_key, epoch_ms(ts) AS t FROM {Q})),
-    w AS (SELECT id, user_key, t, k, t + 86400000 AS reset, 1 AS used FROM o WHERE k = 1
-    UNION ALL SELECT o.id, o.user_key, o.t, o.k, CASE WHEN o.t > w.reset THEN o.t + 86400000 ELSE w.reset END, CASE WHEN o.t > w.reset THEN 1 ELSE w.used + 1 END FROM w JOIN o ON o.user_key = w.user_key AND o.k = w.k + 1)
-    SELECT id, user_key, CAST(used AS BIGINT) AS used, used <= 3 AS allowed, CAST(greatest(0, 3 - used) AS BIGINT) AS remaining FROM w""")
-def win_rate_limit(s, d):
-    log = _requests(s, d).select("id", F.coalesce("user_id", F.lit("anonymous")).alias("user_key"), F.unix_millis("ts").alias("ts_ms"), F.col("id").alias("seq"))
-    return policies.rate_limit(log, "user_key", 3, 86_400_000).select("id", "user_key", "used", "allowed", "remaining")
 
 
 @query("topk_default", """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 9) AS score FROM embeddings

@@ -1,6 +1,5 @@
-"""The survey's whole jobs behind nine names of :mod:`.dialect` that hold a smaller one.
-
-Their SQL stays as it is; each whole job stands under the same name with ``_whole``. Positions
+"""Nine queries in both dialects, under the survey's names and under these with ``_whole``, as they were called
+while the names stood for a smaller job. Positions
 count code points. Null texts give no row. Failed responses are the log of errors; articles and
 FAQs among the support documents are the CMS documents of these types.
 """
@@ -45,7 +44,14 @@ class _Words:
 
 
 def _both(name: str, make) -> None:
-    _add(name, make(_Words(False)), make(_Words(True)))
+    """Under the survey's name, and under the one it had when that name stood for less."""
+    for n in (name, f"{name}_whole"):
+        _add(n, make(_Words(False)), make(_Words(True)))
+
+
+def _one(name: str, sql: str) -> None:
+    for n in (name, f"{name}_whole"):
+        _add(n, sql)
 
 
 def _masked(w: _Words, text: str) -> str:
@@ -93,16 +99,16 @@ def _chunks(w: _Words) -> str:
 
 _SUPPORT = "SELECT id, agent_id, 'ticket' AS kind, status FROM {K} UNION ALL SELECT id, agent_id, lower(doc_type) AS kind, NULL AS status FROM {C} WHERE lower(doc_type) IN ('faq', 'article')"
 
-_both("fn_pii_detect_whole", _detect)
-_both("fn_pii_mask_whole", lambda w: f"SELECT id, {_masked(w, 'description')} AS text FROM {{K}} WHERE description IS NOT NULL")
-_both("fn_moderation_verdict_whole", _verdict)
-_both("fn_strip_html_whole", _strip)
-_both("fn_chunk_fixed_whole", _chunks)
-_add("fn_support_boost_whole", f"SELECT id, kind, CAST(CASE WHEN kind = 'faq' THEN 1.3 WHEN kind = 'ticket' AND status = 'resolved' THEN 1.2 ELSE 1.0 END AS DOUBLE) AS boost FROM ({_SUPPORT})")
-_add("sink_delete_older_whole", " UNION ALL ".join(f"SELECT '{name}' AS log, count_if(ts < TIMESTAMP '2025-06-01 00:00:00') AS deleted, count_if(ts >= TIMESTAMP '2025-06-01 00:00:00') AS kept FROM {rows}" for name, rows in (("requests", "{Q}"), ("responses", "{R}"), ("errors", "{R} WHERE NOT success"))))
-_add("agg_support_stats_whole", f"SELECT agent_id, count(*) AS documents, {', '.join(f'count_if(kind = {k!r}) AS {k}s' for k in ('ticket', 'faq', 'article'))}, {', '.join(f'count_if(kind = {chr(39)}ticket{chr(39)} AND status = {s!r}) AS {s}' for s in ('open', 'pending', 'resolved', 'closed'))} FROM ({_SUPPORT}) GROUP BY agent_id")
-_add(
-    "agg_mongo_rollup_whole",
+_both("fn_pii_detect", _detect)
+_both("fn_pii_mask", lambda w: f"SELECT id, {_masked(w, 'description')} AS text FROM {{K}} WHERE description IS NOT NULL")
+_both("fn_moderation_verdict", _verdict)
+_both("fn_strip_html", _strip)
+_both("fn_chunk_fixed", _chunks)
+_one("fn_support_boost", f"SELECT id, kind, CAST(CASE WHEN kind = 'faq' THEN 1.3 WHEN kind = 'ticket' AND status = 'resolved' THEN 1.2 ELSE 1.0 END AS DOUBLE) AS boost FROM ({_SUPPORT})")
+_one("sink_delete_older", " UNION ALL ".join(f"SELECT '{name}' AS log, count_if(ts < TIMESTAMP '2025-06-01 00:00:00') AS deleted, count_if(ts >= TIMESTAMP '2025-06-01 00:00:00') AS kept FROM {rows}" for name, rows in (("requests", "{Q}"), ("responses", "{R}"), ("errors", "{R} WHERE NOT success"))))
+_one("agg_support_stats", f"SELECT agent_id, count(*) AS documents, {', '.join(f'count_if(kind = {k!r}) AS {k}s' for k in ('ticket', 'faq', 'article'))}, {', '.join(f'count_if(kind = {chr(39)}ticket{chr(39)} AND status = {s!r}) AS {s}' for s in ('open', 'pending', 'resolved', 'closed'))} FROM ({_SUPPORT}) GROUP BY agent_id")
+_one(
+    "agg_mongo_rollup",
     """SELECT coalesce(q.agent_id, r.agent_id) AS agent_id, coalesce(q.n, 0) AS requests, coalesce(r.n, 0) AS responses, coalesce(r.errors, 0) AS errors,
     coalesce(r.latency, 0) AS avg_latency, coalesce(r.tokens, 0) AS tokens, coalesce(r.errors / CAST(r.n AS DOUBLE), 0) AS error_rate
     FROM (SELECT agent_id, count(*) AS n FROM {Q} GROUP BY agent_id) q FULL JOIN

@@ -10,12 +10,14 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: A side is broadcast only if a count has shown that it has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: ... and that its values have at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 _dirs: dict[str, str] = {}
 
@@ -58,10 +60,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(StructType.fromJson(df.schema.jsonValue())).parquet(path)
 
 
-def small_or_none(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``broadcast(df)`` if it has at most ``rows`` rows, else None. ``df`` should be
-    staged or cheap; the count stops as soon as the limit is passed."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+def _width(name: str, kind) -> Column:
+    c, simple = F.col(f"`{name}`"), kind.simpleString()
+    if simple in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if simple.startswith("array<") and simple[6:-1] in ("float", "double", "int", "bigint"):
+        return 8 * F.coalesce(F.size(c), F.lit(0))
+    if simple.startswith(("array<", "map<", "struct<")):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+    return F.lit(8)
+
+
+def small_or_none(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``broadcast(df)`` if it has at most ``rows`` rows of ``size`` bytes together, else
+    None. ``df`` should be staged or cheap; what is measured stops as soon as the rows are passed."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else None
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,12 +86,34 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows
     return left.join(small if small is not None else right, on, how)
 
 
-def latest(df: DataFrame, key: str, order: str = "ingested_at") -> DataFrame:
-    """One row per ``key``: copies of a delivery carry the same content, so any of
-    them will do and no ordering is needed. Null keys are kept as they are."""
-    if order not in df.columns:
-        return df.dropDuplicates([key])
-    return df.drop(order).dropDuplicates([key])
+def latest(df: DataFrame, key: str) -> DataFrame:
+    """One row per ``key``: copies of a delivery carry the same content, so any of them will do
+    and no ordering is needed; the time of arrival, which tells them apart, is dropped. Rows
+    with a null key are kept as they are. Filter first: a condition on other columns cannot pass this."""
+    rows = df.drop("ingested_at")
+    known = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return known.unionByName(rows.where(F.col(key).isNull())) if df.schema[key].nullable else known
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, key: str = "id", where: Column | str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The table with every delivery once; the condition and the columns reach the scan, and only what is left is shuffled."""
+    rows = table(spark, sf_dir, name)
+    rows = rows if where is None else rows.where(where)
+    return latest(rows if columns is None else rows.select(*dict.fromkeys([key, *columns])), key)
+
+
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Adds the number of each row, from 1, in the order of these columns over all rows: a
+    range-partitioned sort, and the counts of the partitions added up; no task sees more than
+    its own range. Ties have to be told apart by the order itself."""
+    sorted_ = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = {r["_part"]: r["count"] for r in sorted_.groupBy("_part").count().collect()}  # a row per partition
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("_part")] if before else F.lit(0)
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return sorted_.withColumn(name, (inner + offsets).cast("bigint")).drop("_part")
 
 
 _shipped: set[str] = set()

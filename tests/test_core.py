@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparrowloom import registry
 from sparrowloom.functions import vectors
-from sparrowloom.operators import metrics, policies
+from sparrowloom.operators import metrics, windows
 
 DATA = "/root/testdata/sf0.001"
 TIMINGS = "struct<total:double,llm_api_time:double,rag_retrieval_time:double,plugin_execution_time:double,db_query_time:double,time_to_first_token:double,time_to_last_token:double,queue_time:double>"
@@ -28,7 +28,7 @@ def test_performance_of_nothing_is_zero(spark):
 
 def test_rate_limit_counts_refused_requests_and_starts_anew(spark):
     log = spark.createDataFrame([("u", t, i) for i, t in enumerate([0, 10, 20, 30, 1001, 1002])] + [("v", 5, 9)], "k string, ts_ms bigint, seq bigint")
-    rows = {(r.k, r.seq): (r.used, r.allowed, r.remaining) for r in policies.rate_limit(log, "k", 3, 1000).collect()}
+    rows = {(r.k, r.seq): (r.used, r.allowed, r.remaining) for r in windows.rate_limit(log, "k", 3, 1000).collect()}
     assert rows["u", 2] == (3, True, 0) and rows["u", 3] == (4, False, 0) and rows["u", 4] == (1, True, 2) and rows["v", 9] == (1, True, 2)
 
 
