@@ -32,7 +32,8 @@ def spans(text: Column, pattern: str) -> Column:
 def pii(text: Column, types: tuple[str, ...] = DEFAULT, custom: dict[str, str] | None = None) -> Column:
     """``array<struct<sub_type, text, start, stop>>`` of all personal data of these types and of the custom patterns."""
     wanted = {t: PII[t] for t in types} | (custom or {})
-    parts = [F.transform(spans(text, p), lambda s, name=name: F.struct(F.lit(name).alias("sub_type"), s["text"].alias("text"), s["start"].alias("start"), s["stop"].alias("stop"))) for name, p in wanted.items()]
+    named = lambda name: lambda s: F.struct(F.lit(name).alias("sub_type"), s["text"].alias("text"), s["start"].alias("start"), s["stop"].alias("stop"))
+    parts = [F.transform(spans(text, p), named(name)) for name, p in wanted.items()]
     return F.concat(*parts)
 
 
