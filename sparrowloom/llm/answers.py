@@ -220,7 +220,7 @@ def votes(question: str | None, answer: str | None, spelled: tuple = (None, None
     polite = [x.count(" ") < 8 and bool(_POLITE.search(x.strip())) for x in sentences] if len(a) <= 80 or any(refusing) else [False] * len(sentences)
     # words of what is neither refusal nor courtesy
     rest = sum(len(_WORD.findall(x)) for x, r, p in zip(sentences, refusing, polite) if not r and not p) if any(refusing) or any(polite) else len(a)
-    refusal = _v(any(refusing)) + _v(True if any(polite) else None if len(a) <= 40 else False) + _v(rest <= 8)
+    refusal = _v(any(refusing)) + _v(any(polite)) + _v(rest <= 8)
 
     if "1" in copied[:1] or question and "translate" in _SCREEN.names(question) and _TRANSLATE.search(question):
         other = "000"
