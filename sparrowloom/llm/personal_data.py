@@ -75,7 +75,65 @@ _ORDINARY = frozenset("a an the on in of to and or for is are was were be it its
 _ANY_DIGIT, _SIX = re.compile(r"\d"), re.compile(r"\d{6}")
 _MAILISH = re.compile(r"[@＠]|&#64;|%40|[(\[{<]\s?(?:at|arroba)\s?[)\]}>]|\sat\s[a-z0-9-]+(?:\.|\sdot\s|\s?[(\[]dot[)\]])", re.I)
 _CUES = beginnings(_ID)
-_STEMS = Screen({"de": _DE, "es": _ES})
+_STEMS = Screen({"es": _ES})
+_DE_STEMS = beginnings(_DE)
+#: Words that are known to begin with no cue; forgotten when they have become many.
+_PLAIN: set[str] = set()
+
+
+def _mailish(text: str, own: set) -> bool:
+    """Whether there may be an address: its sign, or one spelled as a word of its own."""
+    if "@" in text:
+        return True
+    if "at" in own or "arroba" in own or "&" in text or "%" in text or not text.isascii():
+        return _MAILISH.search(text) is not None
+    return False
+
+
+def _cued(own: set) -> list[str]:
+    """The words that begin with a cue."""
+    rest = own - _PLAIN
+    if not rest:
+        return []
+    cued = [w for w in rest if w.startswith(_CUES)]
+    if len(_PLAIN) > 300_000:
+        _PLAIN.clear()
+    _PLAIN.update(rest.difference(cued))
+    return cued
+
+
+def _from(expression: re.Pattern, text: str, low: str, words) -> list[re.Match]:
+    """What finditer gives, for an expression all of whose matches begin with one of these words."""
+    found = []
+    for w in words:
+        at = low.find(w)
+        while at >= 0:
+            m = expression.match(text, at)
+            if m:
+                found.append(m)
+            at = low.find(w, at + 1)
+    found.sort(key=lambda m: m.start())
+    out, end = [], -1
+    for m in found:
+        if m.start() >= end:
+            out.append(m)
+            end = m.end()
+    return out
+
+
+def _german(text: str, low: str) -> list[tuple[int, int]]:
+    """Matches of _DE, all of which begin with a stem."""
+    out = []
+    for stem in _DE_STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            m = _DE.match(text, at)
+            if m:
+                out.append(m.span())
+            at = low.find(stem, at + 1)
+    return out
+
+
 _FR_WORDS = frozenset("rue avenue av boulevard bd chemin impasse place allée quai cours route passage square sentier ruelle faubourg".split())
 _EN_WORDS = frozenset(_TYPE[3:-1].split("|"))
 _DIGITS = frozenset(("zero", "oh", "double", "un", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf"))
@@ -132,11 +190,12 @@ def shaped(text: str, streets: frozenset = frozenset(), words: list[str] | None
     low = folded(text)
     words = _SIMPLE.findall(low) if words is None else words
     own = set(words)
-    if _MAILISH.search(text):
+    if _mailish(text, own):
         take([m.span() for m in _EMAIL.finditer(text)], "email")
     if _ANY_DIGIT.search(text):
-        if any(w.startswith(_CUES) for w in own):
-            take([m.span() for m in _ID.finditer(text)], "identity_number")
+        cued = _cued(own)
+        if cued:
+            take([m.span() for m in _from(_ID, text, low, cued)], "identity_number")
         if _SIX.search(text):
             take([m.span() for m in _ID_SHAPE.finditer(text)], "identity_number")
         take(_addresses(text, low, own, streets), "street_address")
@@ -159,20 +218,18 @@ def _addresses(text: str, low: str, own: set, streets: frozenset) -> list[tuple[
     out = []
     if not own.isdisjoint(_FR_WORDS):
         out += [m.span() for m in _FR.finditer(text)]
-    stems = _STEMS.names(low)
-    if "es" in stems:
+    if "es" in _STEMS.names(low):
         out += [m.span() for m in _ES.finditer(text)]
-    if "de" in stems:
-        for m in _DE.finditer(text):
-            left = _LEFT_DE.search(text, max(0, m.start() - 60), m.start())
-            start = left.start() if left else m.start()
-            if m.start() > start:
-                out.append((start, m.end()))
+    for a, b in _german(text, low):
+        left = _LEFT_DE.search(text, max(0, a - 60), a)
+        start = left.start() if left else a
+        if a > start:
+            out.append((start, b))
     english = not own.isdisjoint(_EN_WORDS)
     for m in _EN_1.finditer(text) if english else ():
         if _street(m[1].split(), streets):
             out.append(m.span())
-    for m in _EN_2.finditer(text) if english else ():
+    for m in _from(_EN_2, text, low, own & _EN_WORDS) if english else ():
         left = _LEFT_EN.search(text, max(0, m.start() - 60), m.start())
         name = left[0].split() if left else []
         # only the words that belong to the name, counted from the kind of street backwards
