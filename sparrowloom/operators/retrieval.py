@@ -56,16 +56,21 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, vector: str = "embedding"
     shape = f"query_id {kind}, id {kind}, score double"
     if size is None:
         return docs.sparkSession.createDataFrame([], shape + ", rank int")
-    asked = ranked(asked.where(F.size("vector") == size["n"]), "id", name="n")
+    asked = asked.where(F.size("vector") == size["n"])
     rows = usable(docs).where(F.size(vector) == size["n"]).select(F.col(id_col).alias("id"), F.col(vector).alias("vector"), scoped.alias("scope"))
-    found, total = [], asked.count()
-    for at in range(0, total, BLOCK):
-        block = asked.where((F.col("n") > at) & (F.col("n") <= at + BLOCK)).toPandas()  # BLOCK rows at most
+
+    def scored(block: pd.DataFrame) -> DataFrame:
         run = _score(block["id"].values, np.stack(block["vector"].values).astype(np.float64), block["scope"].values if scope else None, k, floor)
-        found.append(stage(rows.mapInPandas(run, shape), "scored"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.union(part)
+        return rows.mapInPandas(run, shape)
+
+    few = asked.limit(BLOCK + 1).toPandas()  # BLOCK + 1 rows at most
+    if len(few) <= BLOCK:
+        out = scored(few)
+    else:
+        asked, out = ranked(asked, "id", name="n"), None
+        for at in range(0, asked.count(), BLOCK):
+            part = stage(scored(asked.where((F.col("n") > at) & (F.col("n") <= at + BLOCK)).toPandas()), "scored")
+            out = part if out is None else out.union(part)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 

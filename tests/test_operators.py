@@ -138,6 +138,14 @@ def test_top_k_with_ties_and_unusable_vectors(spark):
     assert all(found[i, k + 1] == j for i in range(0, 300, 20) for k, j in enumerate(np.argsort(-np.round(u @ u[i], 9), kind="stable")[:5]))
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    rng = np.random.RandomState(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.randn(50, 4))], "id int, embedding array<double>")
+    whole = {tuple(r) for r in retrieval.top_k(df, df, 3).collect()}
+    monkeypatch.setattr(retrieval, "BLOCK", 20)
+    assert {tuple(r) for r in retrieval.top_k(df, df, 3).collect()} == whole and len(whole) == 150
+
+
 def test_boosts(spark):
     row = spark.sql("SELECT 1D AS s, 'faq' AS k, timestamp '2025-01-11' AS at").select(
         retrieval.type_boost(F.col("s"), F.col("k"), {"faq": 1.3}).alias("a"), retrieval.recency_boost(F.col("s"), F.lit("2025-01-01").cast("timestamp"), F.col("at"), 20.0).alias("b"),
